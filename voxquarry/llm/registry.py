@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, sharding
+from . import bpe, langid, line_dedup, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_langid": langid.op6_langid,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
