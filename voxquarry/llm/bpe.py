@@ -29,7 +29,7 @@ from .common import table
 from .pretokens import Memory, chunks
 
 #: Chunks and pre-tokens remembered by a worker.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 WORD = 256
 
 

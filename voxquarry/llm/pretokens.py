@@ -34,18 +34,23 @@ def chunks(text: str) -> list[str]:
 class Memory(dict):
     """Ids by chunk, as little-endian unsigned 32-bit integers; bounded.
 
-    A full memory is emptied, so that it holds what the present texts use.
+    A full memory becomes the elder one and a new one starts, into which what is
+    still in use is taken over: at most twice ``most`` chunks are held.
     """
 
     def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most = encode, most
+        self.elder: dict[str, bytes] = {}
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        ids = self.elder.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= self.most:
+                self.elder = dict(self)
                 self.clear()
                 self[""] = b""
             self[chunk] = ids

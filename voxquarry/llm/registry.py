@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, sharding
+from . import bpe, langid, line_dedup, packing, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_packing": packing.op5_packing,
     "op6_langid": langid.op6_langid,
+    "op7_token_files": token_files.op7_token_files,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {
