@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, packing, sharding, token_files
+from . import bpe, langid, line_dedup, packing, sharding, simhash, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_simhash": simhash.op2_simhash,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_packing": packing.op5_packing,
     "op6_langid": langid.op6_langid,
