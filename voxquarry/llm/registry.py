@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, line_dedup, packing, sharding, simhash, token_files, warc
+from . import bpe, fingerprints, langid, line_dedup, neighbours, packing, sharding, simhash, token_files, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_langid": langid.op6_langid,
     "op7_token_files": token_files.op7_token_files,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
