@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import pick, table
 from .pretokens import Memory, chunks
 
 #: Chunks and pre-tokens remembered by a worker.
@@ -181,7 +180,7 @@ def _encode(path: str | None, pattern: str | None):
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers in a binary."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, pattern), "doc_id long, ids binary")
+    return pick(docs, "doc_id", "text").mapInArrow(_encode(path, pattern), "doc_id long, ids binary")
 
 
 def _decode(path: str | None, pattern: str | None):
@@ -217,5 +216,5 @@ def _round_trip(path: str | None, pattern: str | None):
 
 def op3_byte_bpe(spark, sf_dir) -> DataFrame:
     """Token counts and digests of all documents, encoded and decoded in one pass."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     return docs.mapInArrow(_round_trip(None, None), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -92,5 +92,17 @@ def signed64(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called ``_c0``, ``_c1``, ...: whatever they were called, none can clash."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def at(df: DataFrame, name: str):
+    """The column that :func:`numbered` made of ``name`` (exact case; the first of equal names)."""
+    return F.col(f"_c{df.columns.index(name)}")
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, ids as bigint, however other columns are called."""
+    chosen = [at(df, n).cast("bigint").alias(n) if n.endswith("_id") else at(df, n).alias(n) for n in names]
+    return numbered(df).select(*chosen)

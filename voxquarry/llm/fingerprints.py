@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_staged, shuffle_width, staged, table
+from .common import bounded_batches, drop_staged, pick, shuffle_width, staged, table
 
 #: Two primes under 2**31, and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -191,7 +191,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select("doc_id", F.xxhash64(text).alias("body"), F.encode(text, "UTF-8").alias("_bytes"))
+    marked = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("body"), F.encode(text, "UTF-8").alias("_bytes"))
     narrow = staged(marked.select("doc_id", "body"), "order")
     by = [F.col("doc_id").asc_nulls_first(), F.col("body")]
     ranges = narrow.repartitionByRange(shuffle_width(spark), *by)

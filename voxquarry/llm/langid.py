@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import at, numbered, pick, table
 
 DICT_BYTES = 110_000
 SAMPLE_DOCS = 256
@@ -56,7 +56,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
     twice the wanted documents pass; only these reach the driver, each cut at
     ``dict_bytes`` (a dictionary can't hold more).
     """
-    taught = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    taught = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -127,25 +127,23 @@ def _predict(model: dict[str, bytes]):
 
 def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred, score and rejected; only ``text`` is looked at."""
-    narrow = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], "text")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    out = narrow.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
-    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    rows = numbered(docs).select(*[at(docs, c).alias(f"_k{i}") for i, c in enumerate(keep)], at(docs, "text").alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
+    return out.toDF(*keep, "lang_pred", "score", "rejected")
 
 
 def confident(docs: DataFrame, model: dict[str, bytes] | None = None) -> DataFrame:
     """The documents whose language is told with a sufficient margin, unchanged."""
     model = learn(docs) if model is None else model
-    fields = docs.columns
-    marked = docs.withColumn("_text", F.col("text"))
-    narrow = marked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(fields)], F.col("_text").alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    out = narrow.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
-    return out.filter("NOT rejected").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(fields)])
+    rows = numbered(docs).withColumn("text", at(docs, "text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
+    return out.filter("NOT rejected").drop("lang_pred", "score", "rejected").toDF(*docs.columns)
 
 
 def op6_langid(spark, sf_dir) -> DataFrame:
     """The predicted language of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     out = identify(docs.withColumn("held_out", held_out()), learn(docs), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, signed64, staged, table
+from .common import at, bounded_batches, drop_staged, numbered, pick, signed64, staged, table
 
 BLANK = b" \t\n\x0b\x0c\r"
 NAMES = ["h1", "h2", "doc_id", "body", "n_lines", "at"]
@@ -128,11 +128,6 @@ def _bitmaps(batches):
         yield _batch(rows, ["doc_id", "body", "n_lines", "n_dropped", "keep"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("body", F.xxhash64(text)).withColumn("_bytes", F.encode(text, "UTF-8"))
-
-
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, body, n_lines, n_dropped, keep) of every document that loses lines.
 
@@ -140,7 +135,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     tells rows of one doc_id apart; ``keep`` is a zstandard frame of one bit per
     line, lowest bit first, 1 for lines that stay.
     """
-    narrow = _keyed(docs.select("doc_id", "text")).select("doc_id", "body", F.col("_bytes").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    narrow = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("body"), F.encode(text, "UTF-8").alias("text"))
     found = staged(narrow.mapInArrow(_occurrences(min_chars), OCCURRENCES), "lines")
     by = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("body")]
     ordered = found.repartitionByRange(*by).sortWithinPartitions(*by)
@@ -166,16 +162,18 @@ def kept_lines(text: bytes, n_lines: int | None, keep: bytes | None) -> bytes:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``_bytes`` (UTF-8 of the text), ``n_lines``, ``n_dropped`` and ``keep``, null where nothing goes."""
-    d, b = _keyed(docs), bitmaps.withColumnsRenamed({"doc_id": "_doc", "body": "_body"})
-    joined = d.join(b, d["doc_id"].eqNullSafe(b["_doc"]) & (d["body"] == b["_body"]), "left")
-    return joined.drop("_doc", "_body", "body")
+    """The numbered columns of ``docs`` with _doc, _bytes (UTF-8 of the text), n_lines, n_dropped and keep, null where nothing goes."""
+    text = F.coalesce(at(docs, "text"), F.lit(""))
+    d = numbered(docs).withColumns({"_doc": at(docs, "doc_id").cast("bigint"), "_body": F.xxhash64(text), "_bytes": F.encode(text, "UTF-8")})
+    b = bitmaps.withColumnsRenamed({"doc_id": "_doc2", "body": "_body2"})
+    joined = d.join(b, d["_doc"].eqNullSafe(b["_doc2"]) & (d["_body"] == b["_body2"]), "left")
+    return joined.drop("_doc2", "_body2", "_body")
 
 
 def _digests(batches):
     for batch in batches:
         rows = []
-        for doc, text, n, dropped, keep in zip(*(batch[c].to_pylist() for c in ("doc_id", "_bytes", "n_lines", "n_dropped", "keep"))):
+        for doc, text, n, dropped, keep in zip(*(batch[c].to_pylist() for c in ("_doc", "_bytes", "n_lines", "n_dropped", "keep"))):
             left = kept_lines(text, n, keep)
             rows.append((doc, text.count(b"\n") + 1, dropped or 0, hashlib.sha256(left).hexdigest()))
         yield _batch(rows, ["doc_id", "n_lines", "n_dropped", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
@@ -184,24 +182,30 @@ def _digests(batches):
 def _kept_texts(batches):
     for batch in batches:
         texts = [kept_lines(*x).decode("utf-8", "replace") for x in zip(*(batch[c].to_pylist() for c in ("_bytes", "n_lines", "keep")))]
-        rest = [c for c in batch.schema.names if c not in ("_bytes", "n_lines", "n_dropped", "keep")]
+        rest = [c for c in batch.schema.names if c.startswith("_c")]
         yield pa.RecordBatch.from_arrays([batch[c] for c in rest] + [pa.array(texts, pa.string())], names=[*rest, "_kept"])
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with the shared lines taken out of ``text`` (null texts stay null)."""
-    plain = docs.withColumn("_null", F.col("text").isNull())
-    marked = with_bitmaps(plain, keep_bitmaps(docs, min_chars, min_docs)).drop("text")
-    fields = [f for f in marked.schema.fields if f.name not in ("_bytes", "n_lines", "n_dropped", "keep")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _kept string"
-    done = marked.mapInArrow(_kept_texts, schema).withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
-    return done.select(*docs.columns)
+    """``docs`` with the shared lines taken out of ``text`` (null texts stay null) and n_chars, if there, counted anew."""
+    bounded_batches(docs.sparkSession)
+    marked = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = f"_c{docs.columns.index('text')}"
+    # The old text goes along as bytes only; whether it was null is all that is left of it.
+    lean = marked.withColumn(text, F.when(F.col(text).isNotNull(), F.lit("")))
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    done = lean.mapInArrow(_kept_texts, f"{schema}, _kept string").withColumn(text, F.when(F.col(text).isNotNull(), F.col("_kept")))
+    if "n_chars" in docs.columns:
+        n = docs.columns.index("n_chars")
+        done = done.withColumn(f"_c{n}", F.char_length(text).cast(docs.schema.fields[n].dataType))
+    return done.select(*names).toDF(*docs.columns)
 
 
 def op9_line_dedup(spark, sf_dir) -> DataFrame:
     """Line counts and the kept text's SHA-256 of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "_bytes", "n_lines", "n_dropped", "keep")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    marked = with_bitmaps(docs, keep_bitmaps(docs)).select("_doc", "_bytes", "n_lines", "n_dropped", "keep")
     return marked.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

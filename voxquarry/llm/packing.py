@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import pick, staged, table
 from .subwords import subwords
 
 LENGTH = 2048
@@ -57,7 +57,7 @@ def _cut(vocabulary: str, path: str | None, length: int, end_id: int):
 
 def cut_documents(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents, without their ids."""
-    return docs.select("doc_id", "text").mapInArrow(_cut(vocabulary, path, length, end_id), PIECE)
+    return pick(docs, "doc_id", "text").mapInArrow(_cut(vocabulary, path, length, end_id), PIECE)
 
 
 def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

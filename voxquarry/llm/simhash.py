@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_staged, shuffle_width, staged, table
+from .common import at, bounded_batches, numbered, pick, shuffle_width, signed64, staged, table
 from .components import components
 
 SEED = 42
@@ -102,7 +101,7 @@ def _fingerprints(words: int):
 
 def add_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) with the 64-bit fingerprint as a signed long."""
-    narrow = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_bytes"))
+    narrow = pick(docs, "doc_id", "text").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_bytes"))
     return narrow.mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
@@ -203,21 +202,27 @@ def _verify(distance: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, distance: int = 3, blocks: int = 6, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints (column fp) that connect all that are close."""
-    rows = staged(fps.select("fp").distinct(), "fingerprints").mapInArrow(_keys(distance, blocks), "choice int, block long, fp long")
-    rows = staged(rows, "blocks")
+def _deal(rows: DataFrame, bucket: int) -> DataFrame:
+    """Rows (choice, block, fp) of the keys that two of them share, dealt out for comparison.
+
+    Adds slice, and the pair of slices s, t that a row is compared in: (0, 0) in
+    a bucket of ordinary size.
+    """
     sizes = rows.groupBy("choice", "block").agg(F.count("*").alias("n")).filter("n > 1")
-    # Only keys that two fingerprints share go on; a large bucket goes on in slices.
     shared = rows.join(sizes, ["choice", "block"])
     slices = F.ceil(F.col("n") / bucket).cast("int")
     shared = shared.select("choice", "block", "fp", slices.alias("m"), F.pmod(F.xxhash64("fp"), slices).cast("int").alias("slice"))
     pairs = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = pairs.select(
-        "choice", "block", F.least("slice", "other").alias("s"), F.greatest("slice", "other").alias("t"), "fp", "slice"
-    )
-    by = ["choice", "block", "s", "t"]
-    grouped = dealt.repartition(shuffle_width(fps.sparkSession), *by).sortWithinPartitions(*by)
+    return pairs.select("choice", "block", F.least("slice", "other").alias("s"), F.greatest("slice", "other").alias("t"), "fp", "slice")
+
+
+BY = ["choice", "block", "s", "t"]
+
+
+def link_fingerprints(fps: DataFrame, distance: int = 3, blocks: int = 6, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): pairs of distinct fingerprints (column fp) that connect all that are close."""
+    rows = staged(fps.select("fp").distinct().mapInArrow(_keys(distance, blocks), "choice int, block long, fp long"), "blocks")
+    grouped = _deal(rows, bucket).repartition(shuffle_width(fps.sparkSession), *BY).sortWithinPartitions(*BY)
     return grouped.mapInArrow(_verify(distance), "u long, v long")
 
 
@@ -231,6 +236,136 @@ def classes(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     return rooted.join(least, "root").select("fp", "component_id")
 
 
+# The wider form: similarity of word shingles instead of a few differing bits.
+
+#: Blocks of candidate bits (join keys), bits of a block, and bits that verify.
+TABLES, KEY_BITS, CHECK_BITS = 40, 24, 1024
+CANDIDATE_WORDS = 2
+CHUNK = 1 << 15
+
+
+def _columns(n: int, salt: int) -> np.ndarray:
+    return np.array([(0x9E3779B97F4A7C15 * (salt + k + 1)) & (2**64 - 1) for k in range(n)], dtype=np.uint64)
+
+
+def wide(hashes: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """A fingerprint of 64 bits for each column: every column mixes the shingles' hashes anew."""
+    total = np.zeros(64 * len(columns), np.int64)
+    for a in range(0, len(hashes), CHUNK):
+        x = hashes[a : a + CHUNK, None] ^ columns
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        total += bit_counts(x ^ (x >> np.uint64(31)))
+    return np.packbits((total * 2 > len(hashes)).astype(np.uint8), bitorder="little")
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits for two equally long shingle sets of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def allowed_bits(similarity: float, bits: int = CHECK_BITS) -> int:
+    """Differing bits up to which texts count as similar: 95 of 100 pairs of just this similarity have no more."""
+    share = differing_share(similarity)
+    return int(bits * share + 1.65 * np.sqrt(bits * share * (1 - share)))
+
+
+def _wide_prints(words: int):
+    def run(batches):
+        keys, check = _columns(TABLES * KEY_BITS // 64, 1000), _columns(CHECK_BITS // 64, 2000)
+        for batch in batches:
+            rows = []
+            for doc, body, text in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["_bytes"].to_pylist()):
+                normal = b" ".join(text.lower().split())
+                fine = shingle_hashes(normal, words)
+                rows.append((
+                    doc, body, signed64(xxhash.xxh3_64_intdigest(normal)),
+                    wide(shingle_hashes(normal, CANDIDATE_WORDS), keys).tobytes(), wide(fine, check).tobytes(),
+                ))
+            columns = list(zip(*rows)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "body", "fp", "keys", "bits"])
+
+    return run
+
+
+def _wide_keys(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            raw = np.frombuffer(b"".join(part["keys"].to_pylist()), dtype=np.uint8).reshape(part.num_rows, TABLES, KEY_BITS // 8)
+            blocks = (raw.astype(np.int64) << (8 * np.arange(KEY_BITS // 8))).sum(axis=2)
+            choice = np.tile(np.arange(TABLES, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(choice), pa.array(blocks.ravel()), pa.array(np.repeat(part["fp"].to_numpy(), TABLES))], names=["choice", "block", "fp"])
+
+
+def _wide_verify(most: int):
+    """Forests of the buckets in a partition that is sorted by bucket."""
+
+    def run(batches):
+        from .neighbours import _runs
+
+        out = []
+        for (_, _, s, t), (fps, sides, bits) in _runs(batches, BY, ["fp", "slice", "bits"]):
+            if len(fps) < 2:
+                continue
+            m = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(fps), -1)
+            side = np.array(sides)
+
+            def near(i, rest, m=m, side=side, cross=s != t):
+                hit = np.bitwise_count(m[rest] ^ m[i]).sum(axis=1) <= most
+                return hit & (side[rest] != side[i]) if cross else hit
+
+            out += [(fps[i], fps[j]) for i, j in forest(len(fps), near)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, body, class_id, first) of every row of ``docs``.
+
+    Texts are linked where their sets of ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more, as the Hamming distance of
+    ``CHECK_BITS``-bit fingerprints tells it; candidates share one of ``TABLES``
+    blocks of ``KEY_BITS`` bits of a fingerprint of two-word shingles.  ``first``
+    marks the row of the class with the least (doc_id, body), null ids last;
+    ``body`` is Spark's xxhash64 of the text.  Texts with equal words are one
+    vertex, known by a 64-bit hash of the words.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    text = F.coalesce("text", F.lit(""))
+    narrow = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("body"), F.encode(text, "UTF-8").alias("_bytes"))
+    prints = staged(narrow.mapInArrow(_wide_prints(words), "doc_id long, body long, fp long, keys binary, bits binary"), "prints")
+    texts = staged(prints.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("bits").alias("bits")), "texts")
+    rows = staged(texts.select("fp", "keys").mapInArrow(_wide_keys, "choice int, block long, fp long"), "blocks")
+    dealt = _deal(rows, bucket).join(texts.select("fp", "bits"), "fp")
+    grouped = dealt.repartition(shuffle_width(spark), *BY).sortWithinPartitions(*BY)
+    links = grouped.mapInArrow(_wide_verify(allowed_bits(similarity)), "u long, v long")
+    found = components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    members = prints.select("doc_id", "body", "fp").join(found, "fp", "left").withColumn("class_id", F.coalesce("root", "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("body").alias("c"))
+    least = members.groupBy("class_id").agg(F.min(order).alias("least"))
+    out = members.join(least, "class_id")
+    first = F.col("doc_id").eqNullSafe(F.col("least.b")) & (F.col("body") == F.col("least.c"))
+    return out.select("doc_id", "body", "class_id", first.alias("first"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class: the one of the least doc_id."""
+    others = near_duplicates(docs, words, similarity).filter("NOT first").select(F.col("doc_id").alias("_doc2"), F.col("body").alias("_body2")).distinct()
+    d = numbered(docs).withColumns({"_doc": at(docs, "doc_id").cast("bigint"), "_body": F.xxhash64(F.coalesce(at(docs, "text"), F.lit("")))})
+    left = d.join(others, d["_doc"].eqNullSafe(others["_doc2"]) & (d["_body"] == others["_body2"]), "left_anti")
+    # Only repeated rows of one id and text are still there twice.
+    once = left.dropDuplicates(["_doc", "_body"])
+    return once.select(*[f"_c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def op2_simhash(spark, sf_dir) -> DataFrame:
     """Fingerprint and class of every document."""
     prints = staged(add_fingerprint(table(spark, sf_dir, "documents")), "prints")

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_folder, shuffle_width, staged, table
+from .common import bounded_batches, new_folder, pick, shuffle_width, staged, table
 from .subwords import subwords
 
 FRAME_IDS = 32_768
@@ -181,7 +181,7 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None =
     bounded_batches(spark)
     folder = folder or new_folder(spark, "ids")
     by = [F.col("doc_id"), F.xxhash64("text")]
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by)
+    ordered = pick(docs, "doc_id", "text").repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by)
     return staged(ordered.mapInArrow(_write(folder, vocabulary, path, end_id, wide), "part int, file string, docs long, ids long"), "id-files")
 
 

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_folder, staged, table
+from .common import bounded_batches, new_folder, pick, staged, table
 
 LEVEL = 5
 READ = 1 << 20
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, folder: str | None = No
     bounded_batches(spark)
     folder = folder or new_folder(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    rows = pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
     joined = rows.join(firsts, "sha1").withColumn(
         "revisit", (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
