@@ -628,7 +628,7 @@ def dimension_of_file(spark, d):
 
     k = F.col("n_nationkey")
     name = F.when(k % 4 == 0, "overworld").when(k % 4 == 1, "nether").when(k % 4 == 2, "end").otherwise(F.concat(F.lit("dim"), k.cast("string")))
-    return table(spark, d, "nation").select("n_name", dimension(F.concat(F.lit("/w/"), name, F.lit(".pile"))).alias("dim"))
+    return table(spark, d, "nation").select("n_name", dimension(F.concat(F.lit("/w/"), name, F.lit(".world"))).alias("dim"))
 
 
 @register("settings_extra", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS difficulty, 0 AS unknown_keys FROM events")
