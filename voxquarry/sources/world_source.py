@@ -95,6 +95,7 @@ class Reader(DataSourceReader):
             if mode == INDEXED:
                 yield from meta_rows(part.path, self.table, IndexedFile(head, self.budget).world([]))
                 return
+            f.seek(0)  # reads at given places leave the position open
             data = f.read()
         if kind == STRUCTURE:
             yield from structure_rows(part.path, self.table, read_structure(data, self.budget))
