@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from voxquarry.plans import registry, relational, worlds  # noqa: F401
+from voxquarry.plans import more, registry, relational, worlds  # noqa: F401
 
 DATA = os.environ.get("VOXQUARRY_DATA", "/root/testdata/sf0.001")
 
