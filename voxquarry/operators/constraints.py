@@ -25,7 +25,7 @@ def in_range(df: DataFrame, key: list[str], value: str, low, high, rule: str = "
     return _said(df.filter(~F.col(value).between(low, high)), rule, key, F.col(value))
 
 
-def ascending(df: DataFrame, order: str, value: str, rule: str = "ascent", width: int = 1 << 14) -> DataFrame:
+def ascending(df: DataFrame, order: str, value: str, rule: str = "ascent", width: int = 1 << 18) -> DataFrame:
     """Rows whose value isn't greater than that of the row before in ``order``."""
     from .ordered import lagged
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 14
+WIDTH = 1 << 18
 
 
 def _stretched(df: DataFrame, key: str, width: int) -> DataFrame:
