@@ -10,7 +10,8 @@ Every block is compressed on its own, so that each part of a long text leans on
 the dictionary and not on the text before it; all of the text counts.
 
 Bounds of the model (documented parameters): ``DICT_BYTES`` per language, taken
-from ``SAMPLE_DOCS`` documents per language with the smallest hash of their id.
+from ``SAMPLE_DOCS`` documents per language with the smallest hash of their id,
+``DOC_CHARS`` of each.  They bound what is learned from, never what is predicted.
 
 Edge cases: null texts, and texts without a letter, are ``und`` with score 0 and
 rejected; ties go to the first language in alphabetical order; rows with null
@@ -31,6 +32,7 @@ from .common import at, numbered, pick, table
 
 DICT_BYTES = 110_000
 SAMPLE_DOCS = 256
+DOC_CHARS = 16_384
 BLOCK = 4096
 #: Short matches against the dictionary are what tells languages apart.
 CODER = dict(
@@ -49,12 +51,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, doc_chars: int = DOC_CHARS) -> dict[str, bytes]:
     """Raw dictionary content by language; ``docs`` has doc_id, text, lang.
 
     Two scans: counts per language set a hash threshold for each, so that about
-    twice the wanted documents pass; only these reach the driver, each cut at
-    ``dict_bytes`` (a dictionary can't hold more).
+    twice the wanted documents pass; only these reach the driver, with no more
+    than ``doc_chars`` of a document.
     """
     taught = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -68,7 +70,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
         limit = F.when(F.col("lang") == lang, F.lit(min(top - 1, int(share * top)))).otherwise(limit)
     few = (
         taught.filter(order <= limit)
-        .select("lang", order.alias("h"), "doc_id", F.substring("text", 1, dict_bytes).alias("text"))
+        .select("lang", order.alias("h"), "doc_id", F.substring("text", 1, doc_chars).alias("text"))
         .orderBy("h", "doc_id")
         .limit(4 * sample_docs * len(counts))
         .collect()
