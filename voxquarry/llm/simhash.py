@@ -350,10 +350,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     found = components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     members = prints.select("doc_id", "body", "fp").join(found, "fp", "left").withColumn("class_id", F.coalesce("root", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("body").alias("c"))
-    least = members.groupBy("class_id").agg(F.min(order).alias("least"))
-    out = members.join(least, "class_id")
+    least = members.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # A table of its own, so that the rows of a large class can be split up in the join.
+    out = members.join(staged(least.drop("n"), "classes"), "class_id", "left")
     first = F.col("doc_id").eqNullSafe(F.col("least.b")) & (F.col("body") == F.col("least.c"))
-    return out.select("doc_id", "body", "class_id", first.alias("first"))
+    return out.select("doc_id", "body", "class_id", (F.col("least").isNull() | first).alias("first"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
