@@ -29,6 +29,7 @@ import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,12 +131,27 @@ def _inflated(source):
     return pull
 
 
+def _digested(batches):
+    """Payloads compressed for the shuffle, with their digest and size."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        payloads = batch["payload"].to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["page_id"], batch["url"], pa.array(map(pack, payloads), pa.binary()),
+                pa.array([hashlib.sha1(p).digest() for p in payloads], pa.binary()), pa.array(map(len, payloads), pa.int64()),
+            ],
+            names=["page_id", "url", "packed", "sha1", "size"],
+        )
+
+
 def _write(folder: str):
     def run(batches):
         sink = stream = path = None
         count = 0
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for page, url, payload, first, revisit in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "first", "revisit"))):
+            for page, url, packed, first, revisit in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "packed", "first", "revisit"))):
                 if sink is None:
                     store, top = fs.FileSystem.from_uri(folder)
                     store.create_dir(top, recursive=True)
@@ -144,7 +160,7 @@ def _write(folder: str):
                     info = b"software: voxquarry\r\nformat: WARC File Format 1.1\r\n"
                     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}"
                     sink.write(stream.compress(head.encode() + END + info + END))
-                sink.write(stream.compress(record(page, url, payload, first, revisit)))
+                sink.write(stream.compress(record(page, url, unpack(packed), first, revisit)))
                 count += 1
         if sink is not None:
             sink.write(stream.flush())
@@ -160,12 +176,12 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, folder: str | None = No
     bounded_batches(spark)
     folder = folder or new_folder(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "sha1").withColumn(
-        "revisit", (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    )
-    written = joined.select("page_id", "url", "payload", "first", "revisit").mapInArrow(_write(folder), "file string, records long")
+    rows = pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload"))
+    rows = rows.mapInArrow(_digested, "page_id long, url string, packed binary, sha1 binary, size long")
+    narrow = pick(pages, "page_id", "html").select("page_id", F.unhex(F.sha1(payload)).alias("sha1"))
+    firsts = narrow.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    joined = rows.join(firsts, "sha1").withColumn("revisit", (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")))
+    written = joined.select("page_id", "url", "packed", "first", "revisit").mapInArrow(_write(folder), "file string, records long")
     return staged(written, "warc-files")
 
 
