@@ -409,3 +409,29 @@ def test_spans():
         assert x.same(i, y, j, n) == (a[i : i + n] == b[j : j + n])
         k = x.extension(i, y, j)
         assert a[i : i + k] == b[j : j + k] and (i + k == 300 or j + k == 280 or a[i + k] != b[j + k])
+
+
+def jaccard(a, b, words=5):
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def classes_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(df).collect()}
+
+
+def test_near_duplicates_with_a_passage_changed(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, want = [], []
+    for k in range(90):
+        own = [word() for _ in range(350)]
+        n = [18, 36, 52][k % 3] if k % 2 else [22, 40, 62, 84][k % 4]
+        at = rng.randrange(0, 300 - n)
+        other = own[:at] + [word() for _ in range(n)] + own[at + n :] if k % 2 else own + [word() for _ in range(n)]
+        texts += [" ".join(own), " ".join(other)]
+        want.append(jaccard(*texts[-2:]))
+    assert sum(0.8 <= j < 0.95 for j in want) > 50 and sum(j < 0.8 for j in want) > 10
+    got = classes_of(spark, texts)
+    assert [got[2 * k] == got[2 * k + 1] for k in range(90)] == [j >= 0.8 for j in want]

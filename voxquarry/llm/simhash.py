@@ -27,10 +27,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at, bounded_batches, numbered, pick, shuffle_width, signed64, staged, table
+from .common import at, bounded_batches, drop_staged, numbered, pick, shuffle_width, signed64, staged, table
 from .components import components
 
 SEED = 42
@@ -238,9 +239,8 @@ def classes(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
 
 # The wider form: similarity of word shingles instead of a few differing bits.
 
-#: Blocks of candidate bits (join keys), bits of a block, and bits that verify.
-TABLES, KEY_BITS, CHECK_BITS = 40, 24, 1024
-CANDIDATE_WORDS = 2
+#: Bands of minima (join keys), minima of a band, and bits that verify.
+BANDS, BAND_ROWS, CHECK_BITS = 24, 6, 1024
 CHUNK = 1 << 15
 
 
@@ -265,23 +265,41 @@ def differing_share(similarity: float) -> float:
 
 
 def allowed_bits(similarity: float, bits: int = CHECK_BITS) -> int:
-    """Differing bits up to which texts count as similar: 95 of 100 pairs of just this similarity have no more."""
-    share = differing_share(similarity)
-    return int(bits * share + 1.65 * np.sqrt(bits * share * (1 - share)))
+    """Differing bits beyond which a pair isn't worth an exact comparison.
+
+    Five standard deviations over a quarter more than the expected share: sets of
+    a few shingles of unequal number differ in so many more bits.
+    """
+    share = min(0.5, 1.25 * differing_share(similarity))
+    return min(bits, int(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band: the minima of ``BAND_ROWS`` permutations of the shingle set, mixed.
+
+    Two sets agree in a minimum with the probability of their Jaccard similarity,
+    however the texts differ: at 0.8 a pair shares one of the keys in 99.9 of 100 cases.
+    """
+    n = BANDS * BAND_ROWS
+    factors, least = _columns(n, 3000) | np.uint64(1), np.full(n, 2**64 - 1, np.uint64)
+    for a in range(0, len(shingles), 4096):
+        x = shingles[a : a + 4096]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(27))
+        np.minimum(least, (x * factors[:, None]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, -1)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], dtype=np.uint64)
 
 
 def _wide_prints(words: int):
     def run(batches):
-        keys, check = _columns(TABLES * KEY_BITS // 64, 1000), _columns(CHECK_BITS // 64, 2000)
+        check = _columns(CHECK_BITS // 64, 2000)
         for batch in batches:
             rows = []
             for doc, body, text in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["_bytes"].to_pylist()):
                 normal = b" ".join(text.lower().split())
                 fine = shingle_hashes(normal, words)
-                rows.append((
-                    doc, body, signed64(xxhash.xxh3_64_intdigest(normal)),
-                    wide(shingle_hashes(normal, CANDIDATE_WORDS), keys).tobytes(), wide(fine, check).tobytes(),
-                ))
+                rows.append((doc, body, signed64(xxhash.xxh3_64_intdigest(normal)), bands(fine).tobytes(), wide(fine, check).tobytes()))
             columns = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "body", "fp", "keys", "bits"])
@@ -293,10 +311,68 @@ def _wide_keys(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             part = batch.slice(a, 1024)
-            raw = np.frombuffer(b"".join(part["keys"].to_pylist()), dtype=np.uint8).reshape(part.num_rows, TABLES, KEY_BITS // 8)
-            blocks = (raw.astype(np.int64) << (8 * np.arange(KEY_BITS // 8))).sum(axis=2)
-            choice = np.tile(np.arange(TABLES, dtype=np.int32), part.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(choice), pa.array(blocks.ravel()), pa.array(np.repeat(part["fp"].to_numpy(), TABLES))], names=["choice", "block", "fp"])
+            blocks = np.frombuffer(b"".join(part["keys"].to_pylist()), dtype=np.int64)
+            choice = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(choice), pa.array(blocks), pa.array(np.repeat(part["fp"].to_numpy(), BANDS))], names=["choice", "block", "fp"])
+
+
+def _shingle_sets(words: int):
+    """(fp, shingles) of each text: the sorted hashes of its distinct shingles."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(unpack(t), words)).tobytes() for t in batch["packed"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    return run
+
+
+def _normal_texts(batches):
+    """(fp, packed) of each text: the hash of its words, and the words compressed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        normal = [b" ".join(t.lower().split()) for t in batch["_bytes"].to_pylist()]
+        fps = [signed64(xxhash.xxh3_64_intdigest(t)) for t in normal]
+        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([pack(t) for t in normal], pa.binary())], names=["fp", "packed"])
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct values have this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges the two sorted runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (len(both) - common)
+
+
+def _exact_verify(most: int, similarity: float):
+    """Forests of exact links among the classes in a partition that is sorted by class."""
+
+    def run(batches):
+        from .neighbours import _runs
+
+        for (_, _, s, t), (fps, sides, bits, shingles) in _runs(batches, BY, ["fp", "slice", "bits", "shingles"]):
+            if len(fps) < 2:
+                continue
+            m = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(fps), -1)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in shingles]
+            side = np.array(sides)
+
+            def near(i, rest, m=m, sets=sets, side=side, cross=s != t):
+                hit = np.bitwise_count(m[rest] ^ m[i]).sum(axis=1) <= most
+                if cross:
+                    hit &= side[rest] != side[i]
+                for k in np.flatnonzero(hit):
+                    hit[k] = jaccard_at_least(sets[i], sets[rest[k]], similarity)
+                return hit
+
+            out = [(fps[i], fps[j]) for i, j in forest(len(fps), near)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+    return run
 
 
 def _wide_verify(most: int):
@@ -326,16 +402,28 @@ def _wide_verify(most: int):
     return run
 
 
+def _exact_links(narrow: DataFrame, texts: DataFrame, loose: DataFrame, words: int, similarity: float, most: int, bucket: int) -> DataFrame:
+    """(u, v): links that connect all texts of one loose class that are similar by their shingle sets."""
+    spark = narrow.sparkSession
+    members = staged(loose.select(F.col("u").alias("fp"), F.col("v").alias("block")).unionByName(loose.select(F.col("v").alias("fp"), F.col("v").alias("block")).distinct()), "members")
+    normal = narrow.mapInArrow(_normal_texts, "fp long, packed binary").join(members.select("fp"), "fp", "left_semi")
+    packed = normal.groupBy("fp").agg(F.first("packed").alias("packed"))
+    sets = staged(packed.mapInArrow(_shingle_sets(words), "fp long, shingles binary").join(texts.select("fp", "bits"), "fp"), "sets")
+    dealt = _deal(members.select(F.lit(0).alias("choice"), "block", "fp"), bucket).join(sets, "fp")
+    grouped = dealt.repartition(shuffle_width(spark), *BY).sortWithinPartitions(*BY)
+    return grouped.mapInArrow(_exact_verify(most, similarity), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, body, class_id, first) of every row of ``docs``.
 
     Texts are linked where their sets of ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, as the Hamming distance of
-    ``CHECK_BITS``-bit fingerprints tells it; candidates share one of ``TABLES``
-    blocks of ``KEY_BITS`` bits of a fingerprint of two-word shingles.  ``first``
-    marks the row of the class with the least (doc_id, body), null ids last;
-    ``body`` is Spark's xxhash64 of the text.  Texts with equal words are one
-    vertex, known by a 64-bit hash of the words.
+    similarity of ``similarity`` or more.  Candidates share one of ``BANDS`` keys
+    of minima, and the Hamming distance of ``CHECK_BITS``-bit fingerprints must
+    not rule them out; within the classes that these make, links are settled by
+    the shingle sets themselves.  ``first`` marks the row of the class with the
+    least (doc_id, body), null ids last; ``body`` is Spark's xxhash64 of the text.
+    Texts with equal words are one vertex, known by a 64-bit hash of the words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -346,7 +434,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     rows = staged(texts.select("fp", "keys").mapInArrow(_wide_keys, "choice int, block long, fp long"), "blocks")
     dealt = _deal(rows, bucket).join(texts.select("fp", "bits"), "fp")
     grouped = dealt.repartition(shuffle_width(spark), *BY).sortWithinPartitions(*BY)
-    links = grouped.mapInArrow(_wide_verify(allowed_bits(similarity)), "u long, v long")
+    most = allowed_bits(similarity)
+    loose = components(grouped.mapInArrow(_wide_verify(most), "u long, v long"))
+    drop_staged(rows)
+    links = _exact_links(narrow, texts, loose, words, similarity, most, bucket)
     found = components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     members = prints.select("doc_id", "body", "fp").join(found, "fp", "left").withColumn("class_id", F.coalesce("root", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("body").alias("c"))
