@@ -435,3 +435,20 @@ def test_near_duplicates_with_a_passage_changed(spark):
     assert sum(0.8 <= j < 0.95 for j in want) > 50 and sum(j < 0.8 for j in want) > 10
     got = classes_of(spark, texts)
     assert [got[2 * k] == got[2 * k + 1] for k in range(90)] == [j >= 0.8 for j in want]
+
+
+def test_near_duplicates_count_a_shingle_once(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        line = " ".join(word() for _ in range(24))
+        for _ in range(2):
+            texts.append("\n".join([line] * 8 + [" ".join(word() for _ in range(100))]))
+    got = classes_of(spark, texts)
+    assert all(jaccard(a, b) < 0.3 for a, b in zip(texts[::2], texts[1::2]))
+    assert len(set(got.values())) == len(texts)
+    # and a passage repeated in one of two alike texts doesn't part them
+    words = [word() for _ in range(200)]
+    texts = [" ".join(words), " ".join(words + words[:100] * 6)]
+    assert jaccard(*texts) > 0.8 and len(set(classes_of(spark, texts).values())) == 1

@@ -298,7 +298,7 @@ def _wide_prints(words: int):
             rows = []
             for doc, body, text in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["_bytes"].to_pylist()):
                 normal = b" ".join(text.lower().split())
-                fine = shingle_hashes(normal, words)
+                fine = np.unique(shingle_hashes(normal, words))
                 rows.append((doc, body, signed64(xxhash.xxh3_64_intdigest(normal)), bands(fine).tobytes(), wide(fine, check).tobytes()))
             columns = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
