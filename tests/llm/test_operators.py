@@ -452,3 +452,22 @@ def test_near_duplicates_count_a_shingle_once(spark):
     words = [word() for _ in range(200)]
     texts = [" ".join(words), " ".join(words + words[:100] * 6)]
     assert jaccard(*texts) > 0.8 and len(set(classes_of(spark, texts).values())) == 1
+
+
+def test_language_rejects(spark):
+    rng = random.Random(21)
+    letters = {"aa": "abcdefghijklm", "bb": "hijklmnopqrst", "cc": "nopqrstuvwxyz"}
+    lexicon = {x: ["".join(rng.choice(c) for _ in range(rng.randint(2, 8))) for _ in range(400)] for x, c in letters.items()}
+    text = lambda x, n=200: " ".join(rng.choice(lexicon[x]) for _ in range(n))
+    rows = [(i, text(x), x) for i, x in enumerate(["aa", "bb"] * 250)]
+    taught = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    alone = langid.learn(spark.createDataFrame([r for r in rows if r[2] == "aa"], "doc_id long, text string, lang string"))
+    classify, single = langid.Classifier(taught), langid.Classifier(alone)
+    clean = [classify(text(x)) for x in ["aa", "bb"] * 100]
+    assert sum(r for _, _, r in clean) <= 10 and [c[0] for c in clean] == ["aa", "bb"] * 100
+    junk = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(200))
+    odd = {"mixed": lambda: text("aa", 100) + " " + text("bb", 100), "gibberish": junk, "unlearned": lambda: text("cc")}
+    for name, make in odd.items():
+        assert sum(classify(make())[2] for _ in range(50)) >= 45, name
+    assert sum(single(text("aa"))[2] for _ in range(100)) <= 5
+    assert sum(single(junk())[2] for _ in range(50)) >= 45 and sum(single(text("cc"))[2] for _ in range(50)) >= 45

@@ -3,15 +3,22 @@
 For each learned language a raw-content zstandard dictionary is cut from a
 bounded sample of labelled texts.  A text is encoded once per language, in
 blocks, and the language whose dictionary gives the fewest bytes wins; the score
-grows with the margin to the runner-up, and documents with a narrow margin are
-marked as rejected.  Texts are compared in lower case.
+grows with the margin to the runner-up.  Texts are compared in lower case.
+
+Three measures, each a share of the winner's bytes, mark a document as rejected:
+a narrow margin to the runner-up, little gained on a coder without a dictionary
+(text in no learned language), and much to gain by other languages in single
+segments (text in several).  Their limits are those that ``FALSE_REJECTIONS`` of
+the labelled training documents fail, each measured with dictionaries that don't
+hold the document.
 
 Every block is compressed on its own, so that each part of a long text leans on
 the dictionary and not on the text before it; all of the text counts.
 
 Bounds of the model (documented parameters): ``DICT_BYTES`` per language, taken
 from ``SAMPLE_DOCS`` documents per language with the smallest hash of their id,
-``DOC_CHARS`` of each.  They bound what is learned from, never what is predicted.
+``DOC_CHARS`` of each, and the limits from ``LIMIT_DOCS`` documents per language.
+They bound what is learned from, never what is predicted.
 
 Edge cases: null texts, and texts without a letter, are ``und`` with score 0 and
 rejected; ties go to the first language in alphabetical order; rows with null
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,10 +47,11 @@ CODER = dict(
     window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY2,
     write_content_size=0, write_checksum=0, write_dict_id=0,
 )
-#: A text is rejected if the runner-up needs less than this share of the text's bytes more ...
-MIN_MARGIN = 0.0005
-#: ... and it has so many bytes: sizes are whole bytes, too coarse to reject a shorter text.
-MIN_BYTES = 64
+#: Share of the training documents that each of the three limits may reject.
+FALSE_REJECTIONS = 0.01
+LIMIT_DOCS = 200
+#: Bytes of the segments in which another language may be better.
+SEGMENT = 256
 UNKNOWN = "und"
 
 
@@ -51,8 +60,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, doc_chars: int = DOC_CHARS) -> dict[str, bytes]:
-    """Raw dictionary content by language; ``docs`` has doc_id, text, lang.
+class Model(dict):
+    """Dictionary content by language, and the limits of rejection (see :func:`limits`)."""
+
+    limits: tuple[float, float, float] | None = None
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, doc_chars: int = DOC_CHARS) -> Model:
+    """Raw dictionary content by language, with limits; ``docs`` has doc_id, text, lang.
 
     Two scans: counts per language set a hash threshold for each, so that about
     twice the wanted documents pass; only these reach the driver, with no more
@@ -61,7 +76,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
     taught = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {}
+        return Model()
     top = 1 << 63
     order = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 1)
     limit = F.lit(-1).cast("bigint")
@@ -77,13 +92,47 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
     )
     parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
     size = dict.fromkeys(counts, 0)
+    others: dict[str, list[str]] = {lang: [] for lang in counts}
     for row in few:
         if len(parts[row["lang"]]) < sample_docs and size[row["lang"]] < dict_bytes:
             text = row["text"].lower().encode("utf-8", "replace")[: dict_bytes - size[row["lang"]]]
             parts[row["lang"]].append(text)
             size[row["lang"]] += len(text)
+        elif len(others[row["lang"]]) < LIMIT_DOCS:
+            others[row["lang"]].append(row["text"])
+    model = _dictionaries(parts)
+    model.limits = limits(model, parts, others)
+    return model
+
+
+def _dictionaries(parts: dict[str, list[bytes]]) -> Model:
     # The nearest content costs the fewest bits, so earlier samples stand last.
-    return {lang: b"\n".join(reversed(p)) for lang, p in sorted(parts.items()) if sum(map(len, p)) >= 8}
+    return Model({lang: b"\n".join(reversed(p)) for lang, p in sorted(parts.items()) if sum(map(len, p)) >= 8})
+
+
+def limits(model: Model, parts: dict[str, list[bytes]], others: dict[str, list[str]]) -> tuple[float, float, float] | None:
+    """Least margin, least gain and largest regret of a text that is not rejected.
+
+    ``others`` are texts that the dictionaries don't hold.  Languages with fewer
+    than half of ``LIMIT_DOCS`` of them are measured by halves of their samples,
+    each with dictionaries made of the other halves.
+    """
+    whole = Classifier(model)
+    known = {lang for lang, texts in others.items() if 2 * len(texts) >= LIMIT_DOCS}
+    found = [whole.measure(t) for lang in known for t in others[lang] if any(map(str.isalpha, t))] if model else []
+    if known != set(parts):
+        for half in (0, 1):
+            coder = Classifier(_dictionaries({lang: p[1 - half :: 2] for lang, p in parts.items()}))
+            if len(coder.langs) == len(model):
+                texts = [t.decode("utf-8", "ignore") for lang, p in parts.items() if lang not in known for t in p[half::2]]
+                found += [coder.measure(t) for t in texts if any(map(str.isalpha, t))]
+    if not found:
+        return None
+    margin, gain, regret = np.array([f[2:] for f in found]).T
+    return (
+        float(np.quantile(margin, FALSE_REJECTIONS, method="lower")), float(np.quantile(gain, FALSE_REJECTIONS, method="lower")),
+        float(np.quantile(regret, 1 - FALSE_REJECTIONS, method="higher")),
+    )
 
 
 class Classifier:
@@ -91,6 +140,8 @@ class Classifier:
 
     def __init__(self, model: dict[str, bytes]):
         self.langs = sorted(model)
+        self.limits = getattr(model, "limits", None)
+        self.plain = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**CODER))
         self.coders = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -101,15 +152,28 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
+        lang, score, margin, gain, regret = self.measure(text)
+        least, helped, most = self.limits or (0.0, 0.0, math.inf)
+        return lang, score, margin < least or gain < helped or regret > most
+
+    def measure(self, text: str) -> tuple[str, float, float, float, float]:
+        """Language, score, margin, gain on no dictionary, and regret: what other languages would save in single segments."""
         data = text.lower().encode("utf-8", "replace")
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
+        # With one language there is no runner-up and no margin to ask for.
         rest = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + len(data))
         gap = rest - sizes[best]
         score = 1 - math.exp(-40 * gap / max(len(data), 32))
-        rejected = len(data) >= MIN_BYTES and gap < MIN_MARGIN * len(data)
-        return self.langs[best], max(0.0, min(1.0, score)), rejected
+        gain = sum(len(self.plain.compress(b)) for b in blocks) - sizes[best]
+        regret = 0.0
+        if len(self.coders) > 1 and len(data) > SEGMENT:
+            segments = [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)]
+            costs = np.array([[len(c.compress(b)) for b in segments] for c in self.coders])
+            least = costs.sum(axis=1).min()
+            regret = float(least - costs.min(axis=0).sum()) / float(least)
+        return self.langs[best], max(0.0, min(1.0, score)), gap / sizes[best], gain / sizes[best], regret
 
 
 def _predict(model: dict[str, bytes]):
