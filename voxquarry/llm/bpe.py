@@ -24,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick, table
+from .common import CACHES, pick, table, worker
 from .pretokens import Memory, chunks
 
-#: Chunks and pre-tokens remembered by a worker.
-REMEMBERED = 250_000
+#: Bytes of chunks, and half as many of pre-tokens, remembered by a worker.
+REMEMBERED = 128 << 20
 WORD = 256
 
 
@@ -85,7 +85,7 @@ class Encoder:
         self.queue = RankQueue(max(ranks.values()))
         self.token = {rank: token for token, rank in ranks.items()}
         self.known = Memory(self._chunk, remembered)
-        self.pieces = Memory(self._piece, remembered)
+        self.pieces = Memory(self._piece, remembered // 2)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -151,6 +151,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+CACHES["bpe"] = _encoders.clear
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -180,7 +181,7 @@ def _encode(path: str | None, pattern: str | None):
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers in a binary."""
-    return pick(docs, "doc_id", "text").mapInArrow(_encode(path, pattern), "doc_id long, ids binary")
+    return pick(docs, "doc_id", "text").mapInArrow(worker(_encode(path, pattern), "bpe"), "doc_id long, ids binary")
 
 
 def _decode(path: str | None, pattern: str | None):
@@ -195,7 +196,7 @@ def _decode(path: str | None, pattern: str | None):
 
 def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, bytes) of the texts that the ids stand for."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(path, pattern), "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(worker(_decode(path, pattern), "bpe"), "doc_id long, bytes binary")
 
 
 def _round_trip(path: str | None, pattern: str | None):
@@ -217,4 +218,4 @@ def _round_trip(path: str | None, pattern: str | None):
 def op3_byte_bpe(spark, sf_dir) -> DataFrame:
     """Token counts and digests of all documents, encoded and decoded in one pass."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return docs.mapInArrow(_round_trip(None, None), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(worker(_round_trip(None, None), "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

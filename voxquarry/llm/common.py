@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker: very long texts then cannot pile up.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 _own_folder: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
@@ -26,6 +29,44 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What a worker process remembers from task to task: by name, a function that forgets it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def _settle(keeps: str | None) -> None:
+    """Forget what another kind of task left in this process; Arrow takes its memory from malloc."""
+    for name, forget in CACHES.items():
+        if name != keeps:
+            forget()
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _give_back() -> None:
+    """Return freed memory to the operating system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def worker(run: Callable, keeps: str | None = None) -> Callable:
+    """``run`` for ``mapInArrow``, in a process that serves other tasks before and after.
+
+    Only the cache named ``keeps`` lives on from a task to the next of its kind, so
+    the stages of a session don't pile up memory in workers that Spark reuses.
+    """
+
+    def wrapped(batches):
+        _settle(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -77,10 +118,22 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete everything this session staged; results that read it are void afterwards."""
-    for path in _staged.pop(spark.sparkContext.applicationId, []):
-        delete(spark, path)
+def staged_so_far(spark: SparkSession) -> int:
+    """How many tables this session has staged: a mark for :func:`release`."""
+    return len(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete what this session staged after the mark ``since``, other than ``but``.
+
+    Results that read it are void afterwards.
+    """
+    paths = _staged.get(spark.sparkContext.applicationId, [])
+    kept = getattr(but, "_vq_path", None)
+    for path in paths[since:]:
+        if path != kept:
+            delete(spark, path)
+    paths[since:] = [kept] if kept in paths[since:] else []
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_staged, pick, shuffle_width, staged, table
+from .common import CACHES, bounded_batches, drop_staged, pick, shuffle_width, staged, table, worker
 
 #: Two primes under 2**31, and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -44,6 +44,14 @@ PARTS = 8
 _powers: list[np.ndarray] = [np.ones(1, np.int64), np.ones(1, np.int64)]
 
 
+
+def _forget() -> None:
+    _powers[:] = [np.ones(1, np.int64), np.ones(1, np.int64)]
+
+
+CACHES["powers"] = _forget
+
+
 def powers(which: int, n: int) -> np.ndarray:
     """B^0 .. B^(n-1) at least."""
     known, p = _powers[which], PRIMES[which]
@@ -201,9 +209,9 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     drop_staged(narrow)
     if not heads:
         return spark.createDataFrame([], RESULT)
-    routed = marked.mapInArrow(_route(heads), "part int, tail boolean, doc_id long, body long, packed binary")
+    routed = marked.mapInArrow(worker(_route(heads)), "part int, tail boolean, doc_id long, body long, packed binary")
     placed = routed.repartitionById(len(heads), "part").sortWithinPartitions("part", "tail", *by)
-    return placed.mapInArrow(_compare, RESULT)
+    return placed.mapInArrow(worker(_compare, "powers"), RESULT)
 
 
 def op10_fingerprints(spark, sf_dir) -> DataFrame:

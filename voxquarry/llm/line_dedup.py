@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at, bounded_batches, drop_staged, numbered, pick, signed64, staged, table
+from .common import at, bounded_batches, drop_staged, numbered, pick, signed64, staged, table, worker
 
 BLANK = b" \t\n\x0b\x0c\r"
 NAMES = ["h1", "h2", "doc_id", "body", "n_lines", "at"]
@@ -137,10 +137,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """
     text = F.coalesce("text", F.lit(""))
     narrow = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("body"), F.encode(text, "UTF-8").alias("text"))
-    found = staged(narrow.mapInArrow(_occurrences(min_chars), OCCURRENCES), "lines")
+    found = staged(narrow.mapInArrow(worker(_occurrences(min_chars)), OCCURRENCES), "lines")
     by = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("body")]
     ordered = found.repartitionByRange(*by).sortWithinPartitions(*by)
-    seen = staged(ordered.mapInArrow(_first_seen(min_docs), f"docs int, {OCCURRENCES}"), "first-seen")
+    seen = staged(ordered.mapInArrow(worker(_first_seen(min_docs)), f"docs int, {OCCURRENCES}"), "first-seen")
     drop_staged(found)
     open_rows = seen.filter("docs IS NOT NULL")
     # At most two hashes for each range partition.
@@ -150,7 +150,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     columns = ["doc_id", "body", "n_lines", "at"]
     drops = seen.filter("docs IS NULL").select(*columns).unionByName(late.select(*columns))
     per_doc = drops.groupBy("doc_id", "body").agg(F.max("n_lines").alias("n_lines"), F.collect_list("at").alias("lists"))
-    return per_doc.mapInArrow(_bitmaps, "doc_id long, body long, n_lines long, n_dropped long, keep binary")
+    return per_doc.mapInArrow(worker(_bitmaps), "doc_id long, body long, n_lines long, n_dropped long, keep binary")
 
 
 def kept_lines(text: bytes, n_lines: int | None, keep: bytes | None) -> bytes:
@@ -195,7 +195,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     # The old text goes along as bytes only; whether it was null is all that is left of it.
     lean = marked.withColumn(text, F.when(F.col(text).isNotNull(), F.lit("")))
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
-    done = lean.mapInArrow(_kept_texts, f"{schema}, _kept string").withColumn(text, F.when(F.col(text).isNotNull(), F.col("_kept")))
+    done = lean.mapInArrow(worker(_kept_texts), f"{schema}, _kept string").withColumn(text, F.when(F.col(text).isNotNull(), F.col("_kept")))
     if "n_chars" in docs.columns:
         n = docs.columns.index("n_chars")
         done = done.withColumn(f"_c{n}", F.char_length(text).cast(docs.schema.fields[n].dataType))
@@ -206,7 +206,7 @@ def op9_line_dedup(spark, sf_dir) -> DataFrame:
     """Line counts and the kept text's SHA-256 of every document."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     marked = with_bitmaps(docs, keep_bitmaps(docs)).select("_doc", "_bytes", "n_lines", "n_dropped", "keep")
-    return marked.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.mapInArrow(worker(_digests), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 OP9_SQL = r"""

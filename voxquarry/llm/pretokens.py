@@ -21,6 +21,8 @@ CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-įı-ž]*")
 #: Longest chunk to remember.
 LONGEST = 64
+#: Bytes that an entry takes besides its letters and ids: two objects and a place in a dict.
+ENTRY = 190
 
 
 def chunks(text: str) -> list[str]:
@@ -32,16 +34,18 @@ def chunks(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """Ids by chunk, as little-endian unsigned 32-bit integers; bounded.
+    """Ids by chunk, as little-endian unsigned 32-bit integers; bounded in bytes.
 
     A full memory becomes the elder one and a new one starts, into which what is
-    still in use is taken over: at most twice ``most`` chunks are held.
+    still in use is taken over: both together hold at most ``most`` bytes, counting
+    ``ENTRY`` for the objects of an entry besides its letters and ids.
     """
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.half = encode, most // 2
         self.elder: dict[str, bytes] = {}
+        self.held = 0
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
@@ -49,9 +53,11 @@ class Memory(dict):
         if ids is None:
             ids = self.encode(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= self.most:
+            if self.held >= self.half:
                 self.elder = dict(self)
                 self.clear()
+                self.held = 0
                 self[""] = b""
             self[chunk] = ids
+            self.held += ENTRY + len(chunk) + len(ids)
         return ids

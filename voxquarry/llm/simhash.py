@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at, bounded_batches, drop_staged, numbered, pick, shuffle_width, signed64, staged, table
+from .common import at, bounded_batches, drop_staged, numbered, pick, shuffle_width, signed64, staged, table, worker
 from .components import components
 
 SEED = 42
@@ -103,7 +103,7 @@ def _fingerprints(words: int):
 def add_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) with the 64-bit fingerprint as a signed long."""
     narrow = pick(docs, "doc_id", "text").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_bytes"))
-    return narrow.mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return narrow.mapInArrow(worker(_fingerprints(words)), "doc_id long, fp long")
 
 
 def block_keys(fps: np.ndarray, distance: int, blocks: int) -> list[np.ndarray]:
@@ -222,9 +222,9 @@ BY = ["choice", "block", "s", "t"]
 
 def link_fingerprints(fps: DataFrame, distance: int = 3, blocks: int = 6, bucket: int = BUCKET) -> DataFrame:
     """(u, v): pairs of distinct fingerprints (column fp) that connect all that are close."""
-    rows = staged(fps.select("fp").distinct().mapInArrow(_keys(distance, blocks), "choice int, block long, fp long"), "blocks")
+    rows = staged(fps.select("fp").distinct().mapInArrow(worker(_keys(distance, blocks)), "choice int, block long, fp long"), "blocks")
     grouped = _deal(rows, bucket).repartition(shuffle_width(fps.sparkSession), *BY).sortWithinPartitions(*BY)
-    return grouped.mapInArrow(_verify(distance), "u long, v long")
+    return grouped.mapInArrow(worker(_verify(distance)), "u long, v long")
 
 
 def classes(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -402,16 +402,16 @@ def _wide_verify(most: int):
     return run
 
 
-def _exact_links(narrow: DataFrame, texts: DataFrame, loose: DataFrame, words: int, similarity: float, most: int, bucket: int) -> DataFrame:
-    """(u, v): links that connect all texts of one loose class that are similar by their shingle sets."""
+def _exact_links(narrow: DataFrame, texts: DataFrame, loose: DataFrame, words: int, similarity: float, most: int, bucket: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v): links that connect all texts of one loose class that are similar by their shingle sets; and the staged tables they are read from."""
     spark = narrow.sparkSession
     members = staged(loose.select(F.col("u").alias("fp"), F.col("v").alias("block")).unionByName(loose.select(F.col("v").alias("fp"), F.col("v").alias("block")).distinct()), "members")
-    normal = narrow.mapInArrow(_normal_texts, "fp long, packed binary").join(members.select("fp"), "fp", "left_semi")
+    normal = narrow.mapInArrow(worker(_normal_texts), "fp long, packed binary").join(members.select("fp"), "fp", "left_semi")
     packed = normal.groupBy("fp").agg(F.first("packed").alias("packed"))
-    sets = staged(packed.mapInArrow(_shingle_sets(words), "fp long, shingles binary").join(texts.select("fp", "bits"), "fp"), "sets")
+    sets = staged(packed.mapInArrow(worker(_shingle_sets(words)), "fp long, shingles binary").join(texts.select("fp", "bits"), "fp"), "sets")
     dealt = _deal(members.select(F.lit(0).alias("choice"), "block", "fp"), bucket).join(sets, "fp")
     grouped = dealt.repartition(shuffle_width(spark), *BY).sortWithinPartitions(*BY)
-    return grouped.mapInArrow(_exact_verify(most, similarity), "u long, v long")
+    return grouped.mapInArrow(worker(_exact_verify(most, similarity)), "u long, v long"), [members, sets]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
@@ -429,16 +429,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     bounded_batches(spark)
     text = F.coalesce("text", F.lit(""))
     narrow = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("body"), F.encode(text, "UTF-8").alias("_bytes"))
-    prints = staged(narrow.mapInArrow(_wide_prints(words), "doc_id long, body long, fp long, keys binary, bits binary"), "prints")
+    prints = staged(narrow.mapInArrow(worker(_wide_prints(words)), "doc_id long, body long, fp long, keys binary, bits binary"), "prints")
     texts = staged(prints.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("bits").alias("bits")), "texts")
-    rows = staged(texts.select("fp", "keys").mapInArrow(_wide_keys, "choice int, block long, fp long"), "blocks")
+    rows = staged(texts.select("fp", "keys").mapInArrow(worker(_wide_keys), "choice int, block long, fp long"), "blocks")
     dealt = _deal(rows, bucket).join(texts.select("fp", "bits"), "fp")
     grouped = dealt.repartition(shuffle_width(spark), *BY).sortWithinPartitions(*BY)
     most = allowed_bits(similarity)
-    loose = components(grouped.mapInArrow(_wide_verify(most), "u long, v long"))
+    loose = components(grouped.mapInArrow(worker(_wide_verify(most)), "u long, v long"))
     drop_staged(rows)
-    links = _exact_links(narrow, texts, loose, words, similarity, most, bucket)
+    links, used = _exact_links(narrow, texts, loose, words, similarity, most, bucket)
     found = components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    for table_ in (*used, texts, loose):
+        drop_staged(table_)
     members = prints.select("doc_id", "body", "fp").join(found, "fp", "left").withColumn("class_id", F.coalesce("root", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("body").alias("c"))
     least = members.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1")

@@ -15,10 +15,11 @@ import struct
 
 import regex
 
+from .common import CACHES
 from .pretokens import PLAIN, Memory, chunks
 
-#: Chunks, and pieces of chunks, remembered by a worker.
-REMEMBERED = 250_000
+#: Bytes of chunks, and half as many of pieces of chunks, remembered by a worker.
+REMEMBERED = 48 << 20
 
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,7 +54,7 @@ class Subwords:
         self.words = words
         self.find = regex.compile(_WORD_PATTERN if words else _BYTE_PATTERN).findall
         self.known = Memory(self._chunk, remembered)
-        self.pieces = Memory(self._piece, remembered)
+        self.pieces = Memory(self._piece, remembered // 2)
 
     def _piece(self, piece: str) -> bytes:
         return pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
@@ -75,14 +76,15 @@ class Subwords:
 
 
 _made: dict[tuple[str, bool], Subwords] = {}
+CACHES["subwords"] = _made.clear
 
 
-def subwords(name: str, words: bool, path: str | None = None) -> Subwords:
+def subwords(name: str, words: bool, path: str | None = None, remembered: int = REMEMBERED) -> Subwords:
     """This worker's encoder for a vocabulary file, made once."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(name)
     if (path, words) not in _made:
-        _made[path, words] = Subwords(path, words)
+        _made[path, words] = Subwords(path, words, remembered)
     return _made[path, words]

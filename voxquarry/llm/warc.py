@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_folder, pick, staged, table
+from .common import bounded_batches, new_folder, pick, staged, table, worker
 
 LEVEL = 5
 READ = 1 << 20
@@ -177,11 +177,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, folder: str | None = No
     folder = folder or new_folder(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload"))
-    rows = rows.mapInArrow(_digested, "page_id long, url string, packed binary, sha1 binary, size long")
+    rows = rows.mapInArrow(worker(_digested), "page_id long, url string, packed binary, sha1 binary, size long")
     narrow = pick(pages, "page_id", "html").select("page_id", F.unhex(F.sha1(payload)).alias("sha1"))
     firsts = narrow.groupBy("sha1").agg(F.min("page_id").alias("first"))
     joined = rows.join(firsts, "sha1").withColumn("revisit", (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")))
-    written = joined.select("page_id", "url", "packed", "first", "revisit").mapInArrow(_write(folder), "file string, records long")
+    written = joined.select("page_id", "url", "packed", "first", "revisit").mapInArrow(worker(_write(folder)), "file string, records long")
     return staged(written, "warc-files")
 
 
@@ -221,7 +221,7 @@ def _spread(files: DataFrame) -> DataFrame:
 def normalise(files: DataFrame, folder: str | None = None) -> DataFrame:
     """Rewrite gzip archives (column file) with a member per record and a sidecar ``.idx``; (file, records)."""
     folder = folder or new_folder(files.sparkSession, "warc")
-    return staged(_spread(files).mapInArrow(_normalise(folder), "file string, records long"), "warc-files")
+    return staged(_spread(files).mapInArrow(worker(_normalise(folder)), "file string, records long"), "warc-files")
 
 
 def read_member(source, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -268,7 +268,7 @@ def _read(batches):
 
 def read_archives(files: DataFrame) -> DataFrame:
     """One row per response or revisit record of normalised archives, read through their indexes."""
-    return _spread(files).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _spread(files).mapInArrow(worker(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4_warc(spark, sf_dir) -> DataFrame:
