@@ -2,7 +2,7 @@
 
 For each learned language a raw-content zstandard dictionary is cut from a
 bounded sample of labelled texts.  A text is encoded once per language, in
-blocks, and the language whose dictionary gives the fewest bytes wins; the score
+segments, and the language whose dictionary gives the fewest bytes wins; the score
 grows with the margin to the runner-up.  Texts are compared in lower case.
 
 Three measures, each a share of the winner's bytes, mark a document as rejected:
@@ -12,13 +12,15 @@ segments (text in several).  Their limits are those that ``FALSE_REJECTIONS`` of
 the labelled training documents fail, each measured with dictionaries that don't
 hold the document.
 
-Every block is compressed on its own, so that each part of a long text leans on
+Every segment is compressed on its own, so that each part of a long text leans on
 the dictionary and not on the text before it; all of the text counts.
 
-Bounds of the model (documented parameters): ``DICT_BYTES`` per language, taken
-from ``SAMPLE_DOCS`` documents per language with the smallest hash of their id,
-``DOC_CHARS`` of each, and the limits from ``LIMIT_DOCS`` documents per language.
-They bound what is learned from, never what is predicted.
+Bounds of the model (documented parameters): the ``LANGS`` languages with the most
+labelled documents (ties: the alphabetically first), ``DICT_BYTES`` of each, from
+``SAMPLE_DOCS`` documents with the smallest hash of their id, and the limits from
+``LIMIT_DOCS`` more.  A sampled document stands for itself by ``WINDOWS`` windows of
+``WINDOW`` characters spread evenly over all of it, which are the whole of a text
+that is no longer.  They bound what is learned from, never what is predicted.
 
 Edge cases: null texts, and texts without a letter, are ``und`` with score 0 and
 rejected; ties go to the first language in alphabetical order; rows with null
@@ -33,15 +35,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at, numbered, pick, table
+from .common import at, numbered, pick, table, worker
 
 DICT_BYTES = 110_000
 SAMPLE_DOCS = 256
-DOC_CHARS = 16_384
-BLOCK = 4096
+WINDOWS, WINDOW = 16, 512
+LANGS = 64
 #: Short matches against the dictionary are what tells languages apart.
 CODER = dict(
     window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY2,
@@ -50,8 +52,8 @@ CODER = dict(
 #: Share of the training documents that each of the three limits may reject.
 FALSE_REJECTIONS = 0.01
 LIMIT_DOCS = 200
-#: Bytes of the segments in which another language may be better.
-SEGMENT = 256
+#: Bytes of the segments that are encoded, and in each of which another language may be better.
+SEGMENT = 512
 UNKNOWN = "und"
 
 
@@ -66,26 +68,32 @@ class Model(dict):
     limits: tuple[float, float, float] | None = None
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, doc_chars: int = DOC_CHARS) -> Model:
+def windows(text: Column, count: int = WINDOWS, width: int = WINDOW) -> Column:
+    """``count`` windows of ``width`` characters, evenly spread from the first character to the last."""
+    last = F.length(text) - width
+    step = lambda i: F.substring(text, (F.floor(last * i / (count - 1)) + 1).cast("int"), F.lit(width))
+    return F.when(last <= width * (count - 1), text).otherwise(F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), step)))
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, langs: int = LANGS) -> Model:
     """Raw dictionary content by language, with limits; ``docs`` has doc_id, text, lang.
 
     Two scans: counts per language set a hash threshold for each, so that about
-    twice the wanted documents pass; only these reach the driver, with no more
-    than ``doc_chars`` of a document.
+    twice the wanted documents pass; only the :func:`windows` of these reach the driver.
     """
     taught = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return Model()
     top = 1 << 63
     order = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 1)
-    limit = F.lit(-1).cast("bigint")
-    for lang, n in counts.items():
-        share = min(1.0, 2 * sample_docs / n)
-        limit = F.when(F.col("lang") == lang, F.lit(min(top - 1, int(share * top)))).otherwise(limit)
+    shares = [(lang, min(top - 1, int(min(1.0, 2 * sample_docs / n) * top))) for lang, n in counts.items()]
+    # A row for each learned language: at most ``langs``.
+    limit = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, most long"))
     few = (
-        taught.filter(order <= limit)
-        .select("lang", order.alias("h"), "doc_id", F.substring("text", 1, doc_chars).alias("text"))
+        taught.join(limit, "lang").filter(order <= F.col("most"))
+        .select("lang", order.alias("h"), "doc_id", windows(F.col("text")).alias("text"))
         .orderBy("h", "doc_id")
         .limit(4 * sample_docs * len(counts))
         .collect()
@@ -94,8 +102,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
     size = dict.fromkeys(counts, 0)
     others: dict[str, list[str]] = {lang: [] for lang in counts}
     for row in few:
-        if len(parts[row["lang"]]) < sample_docs and size[row["lang"]] < dict_bytes:
-            text = row["text"].lower().encode("utf-8", "replace")[: dict_bytes - size[row["lang"]]]
+        text = row["text"].lower().encode("utf-8", "replace")
+        if len(parts[row["lang"]]) < sample_docs and size[row["lang"]] + len(text) <= dict_bytes:
             parts[row["lang"]].append(text)
             size[row["lang"]] += len(text)
         elif len(others[row["lang"]]) < LIMIT_DOCS:
@@ -159,21 +167,17 @@ class Classifier:
     def measure(self, text: str) -> tuple[str, float, float, float, float]:
         """Language, score, margin, gain on no dictionary, and regret: what other languages would save in single segments."""
         data = text.lower().encode("utf-8", "replace")
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
+        segments = [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)]
+        costs = [[len(c.compress(b)) for b in segments] for c in self.coders]
+        sizes = list(map(sum, costs))
         best = min(range(len(sizes)), key=sizes.__getitem__)
         # With one language there is no runner-up and no margin to ask for.
         rest = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + len(data))
         gap = rest - sizes[best]
         score = 1 - math.exp(-40 * gap / max(len(data), 32))
-        gain = sum(len(self.plain.compress(b)) for b in blocks) - sizes[best]
-        regret = 0.0
-        if len(self.coders) > 1 and len(data) > SEGMENT:
-            segments = [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)]
-            costs = np.array([[len(c.compress(b)) for b in segments] for c in self.coders])
-            least = costs.sum(axis=1).min()
-            regret = float(least - costs.min(axis=0).sum()) / float(least)
-        return self.langs[best], max(0.0, min(1.0, score)), gap / sizes[best], gain / sizes[best], regret
+        gain = sum(len(self.plain.compress(b)) for b in segments) - sizes[best]
+        regret = sizes[best] - sum(map(min, zip(*costs)))
+        return self.langs[best], max(0.0, min(1.0, score)), gap / sizes[best], gain / sizes[best], regret / sizes[best]
 
 
 def _predict(model: dict[str, bytes]):
@@ -195,7 +199,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str]) -> DataF
     """Columns ``keep`` of ``docs`` with lang_pred, score and rejected; only ``text`` is looked at."""
     rows = numbered(docs).select(*[at(docs, c).alias(f"_k{i}") for i, c in enumerate(keep)], at(docs, "text").alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(worker(_predict(model)), f"{schema}, lang_pred string, score double, rejected boolean")
     return out.toDF(*keep, "lang_pred", "score", "rejected")
 
 
@@ -204,7 +208,7 @@ def confident(docs: DataFrame, model: dict[str, bytes] | None = None) -> DataFra
     model = learn(docs) if model is None else model
     rows = numbered(docs).withColumn("text", at(docs, "text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(worker(_predict(model)), f"{schema}, lang_pred string, score double, rejected boolean")
     return out.filter("NOT rejected").drop("lang_pred", "score", "rejected").toDF(*docs.columns)
 
 
