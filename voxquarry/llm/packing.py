@@ -6,7 +6,8 @@ lengths give a number of sequences that no packing of the partition can go
 below.  A partition that meets its bound is optimal and stays; those with a gap
 give the pieces of all sequences that aren't full, and every partition those of
 its emptiest one, into an exchange, where they are dealt anew and packed again.
-Rounds end when the whole meets its bound, or a round brings nothing.
+Rounds end when the whole meets its bound, or a round brings nothing.  Whatever
+its size, a table of two sequences or more is dealt to two partitions at least.
 
 Per partition only its counts reach the driver; pieces stay on the executors,
 where a partition holds ``PIECES`` rows of a few numbers.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, staged, table
+from .common import pick, staged, table, worker
 from .subwords import subwords
 
 LENGTH = 2048
@@ -57,7 +58,7 @@ def _cut(vocabulary: str, path: str | None, length: int, end_id: int):
 
 def cut_documents(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents, without their ids."""
-    return pick(docs, "doc_id", "text").mapInArrow(_cut(vocabulary, path, length, end_id), PIECE)
+    return pick(docs, "doc_id", "text").mapInArrow(worker(_cut(vocabulary, path, length, end_id), "subwords"), PIECE)
 
 
 def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,8 +161,9 @@ def pack(pieces: DataFrame, size: int = LENGTH, per_partition: int = PIECES, rep
     turn, todo, settled = 0, pieces, 0
     best = None
     while True:
-        parts = -(-n // per_partition)
-        packed = staged(todo.repartition(parts).mapInArrow(_pack(size, turn), PACKED), "packed")
+        # What makes two sequences or more starts in two partitions at least; what is exchanged meets again.
+        parts = max(-(-n // per_partition), 1 if kept or bound < 2 else 2)
+        packed = staged(todo.repartition(parts).mapInArrow(worker(_pack(size, turn)), PACKED), "packed")
         # The counts ride on one row of each partition: the whole is settled by adding them up.
         total = packed.agg(
             F.sum("bins").alias("bins"), F.countDistinct(F.when(F.col("offered"), F.col("sequence_id"))).alias("loose"),
