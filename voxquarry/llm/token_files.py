@@ -13,10 +13,12 @@ Layout of a file, which is also a valid zstandard stream:
 A reader takes the two tables from the end of a file and then fetches and
 decompresses only the frames that hold the wanted documents.
 
-The corpus is range-partitioned by document id; each partition streams into one
-file, holding a frame and the index, not the ids.  File names are new for every
-attempt of a task, and only files that a finished task reports are read, so lost
-executors and repeated attempts leave the result alone.
+A narrow scan of (document id, text hash, bytes) says how many files there are, about
+``FILE_BYTES`` of text each, and where each begins.  Texts are tokenised where they
+lie; only their ids are shuffled, to the file they belong to.  Each partition streams
+into one file, holding a frame and the index, not the ids.  File names are new for
+every attempt of a task, and only files that a finished task reports are read, so
+lost executors and repeated attempts leave the result alone.
 
 Edge cases: null and empty texts are documents with the end id only; null ids
 sort first; repeated rows are documents of their own, side by side; an empty
@@ -28,6 +30,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_folder, pick, shuffle_width, staged, table
+from .common import bounded_batches, drop_staged, new_folder, pick, staged, table, worker
 from .subwords import subwords
 
 FRAME_IDS = 32_768
+#: Bytes of text for a file: what one task sorts and writes.
+FILE_BYTES = 64 << 20
+#: Bytes of the ids' chunks that a worker remembers.
+REMEMBERED = 128 << 20
 LEVEL = 3
 INDEX_MAGIC = 0x184D2A51
 SEEK_SKIPPABLE = 0x184D2A5E
@@ -149,40 +156,78 @@ class Reader:
         return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
 
 
-def _write(folder: str, vocabulary: str, path: str | None, end_id: int, wide: bool):
+def _place(doc: int | None, body: int) -> tuple:
+    return (doc is not None, doc or 0, body)
+
+
+def _tokenise(heads: list[tuple], vocabulary: str, path: str | None, end_id: int, wide: bool):
+    """(part, doc_id, body, ids) of each text: the file it belongs to, and its ids as they stand there."""
+
     def run(batches):
-        own, store, name, writer, sink = None, None, None, None, None
-        end = np.array([end_id], dtype=np.uint32)
+        own, kind = subwords(vocabulary, False, path, REMEMBERED), np.dtype("<u4" if wide else "<u2")
+        end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if writer is None:
-                    own = subwords(vocabulary, False, path)
-                    store, top = _open(folder)
+            docs, bodies = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
+            parts = [max(bisect_right(heads, _place(d, b)) - 1, 0) for d, b in zip(docs, bodies)]
+            ids = [own.encode_bytes(t or "") for t in batch["text"].to_pylist()]
+            ids = [(x if wide else np.frombuffer(x, dtype="<u4").astype(kind).tobytes()) + end for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch["doc_id"], batch["body"], pa.array(ids, pa.binary())], names=["part", "doc_id", "body", "ids"])
+
+    return run
+
+
+def _write(folder: str, wide: bool):
+    def run(batches):
+        now, name, writer, sink = None, None, None, None
+        kind = np.dtype("<u4" if wide else "<u2")
+
+        def closed():
+            writer.close()
+            sink.close()
+            row = [now], [f"{folder}/{name}"], [len(writer.docs)], [writer.total]
+            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2], pa.int64()), pa.array(row[3], pa.int64())], names=["part", "file", "docs", "ids"])
+
+        for batch in batches:
+            for part, doc, ids in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"]):
+                if part != now:
+                    if writer is not None:
+                        yield closed()
+                    now, (store, top) = part, _open(folder)
                     store.create_dir(top, recursive=True)
-                    name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
+                    name = f"ids-{part:06d}-{uuid.uuid4().hex}.zst"
                     sink = store.open_output_stream(f"{top}/{name}", compression=None)
                     writer = Writer(sink, wide)
-                writer.add(doc, np.concatenate([np.frombuffer(own.encode_bytes(text or ""), dtype="<u4"), end]))
+                writer.add(doc, np.frombuffer(ids.as_buffer(), dtype=kind))
         if writer is not None:
-            writer.close()
-            sink.close()
-            row = [TaskContext.get().partitionId()], [f"{folder}/{name}"], [len(writer.docs)], [writer.total]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2], pa.int64()), pa.array(row[3], pa.int64())], names=["part", "file", "docs", "ids"])
+            yield closed()
 
     return run
 
 
-def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, end_id: int = END_ID, wide: bool = False, folder: str | None = None) -> DataFrame:
+def write_ids(
+    docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, end_id: int = END_ID, wide: bool = False, folder: str | None = None,
+    file_bytes: int = FILE_BYTES,
+) -> DataFrame:
     """Write the ids of all texts in ascending doc_id order; (part, file, docs, ids) of each file.
 
-    ``wide`` takes 32-bit ids, for vocabularies over 65,536.
+    ``wide`` takes 32-bit ids, for vocabularies over 65,536.  A file holds about
+    ``file_bytes`` of text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or new_folder(spark, "ids")
-    by = [F.col("doc_id"), F.xxhash64("text")]
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by)
-    return staged(ordered.mapInArrow(_write(folder, vocabulary, path, end_id, wide), "part int, file string, docs long, ids long"), "id-files")
+    marked = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("body"), "text")
+    narrow = staged(marked.select("doc_id", "body", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")), "order")
+    total = narrow.agg(F.sum("size")).first()[0]
+    by = [F.col("doc_id").asc_nulls_first(), F.col("body")]
+    ranges = narrow.repartitionByRange(-(-(total or 0) // file_bytes) or 1, *by)
+    firsts = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "body")).alias("head"))
+    # One row for each file.
+    heads = sorted(_place(r["head"]["doc_id"], r["head"]["body"]) for r in firsts.collect())
+    drop_staged(narrow)
+    tokens = marked.mapInArrow(worker(_tokenise(heads, vocabulary, path, end_id, wide), "subwords"), "part int, doc_id long, body long, ids binary")
+    placed = tokens.repartitionById(max(1, len(heads)), "part").sortWithinPartitions("part", *by)
+    return staged(placed.drop("body").mapInArrow(worker(_write(folder, wide)), "part int, file string, docs long, ids long"), "id-files")
 
 
 def _read(batches):
@@ -214,7 +259,7 @@ def read_index(files: DataFrame) -> DataFrame:
         listed.append((row["file"], start))
         start += row["ids"]
     todo = spark.createDataFrame(listed, "file string, start long").repartition(max(1, len(listed)))
-    return todo.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.mapInArrow(worker(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark, sf_dir) -> DataFrame:
