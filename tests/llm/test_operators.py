@@ -471,3 +471,82 @@ def test_language_rejects(spark):
         assert sum(classify(make())[2] for _ in range(50)) >= 45, name
     assert sum(single(text("aa"))[2] for _ in range(100)) <= 5
     assert sum(single(junk())[2] for _ in range(50)) >= 45 and sum(single(text("cc"))[2] for _ in range(50)) >= 45
+
+
+def parsed(text):
+    """A fingerprint's cuts as written: (end, window hash, residue, residue); the last is the end of the text."""
+    level, digits = text.split(":")
+    numbers = [int(digits[i : i + 8], 16) for i in range(0, len(digits), 8)]
+    return int(level, 16), [tuple(numbers[i : i + 4]) for i in range(0, len(numbers), 4)]
+
+
+def brute_alike(one, other):
+    """Share of the longer text in spans that both fingerprints have, by their strings alone."""
+    (la, a), (lb, b) = parsed(one), parsed(other)
+    level = max(la, lb)
+
+    def spans(cuts):
+        zero = lambda w: (((w * 0x9E3779B97F4A7C15) % 2**64) >> 32) % 2**level == 0
+        kept = [(0, -1, 0, 0), *[c for c in cuts[:-1] if zero(c[1])], cuts[-1]]
+        out = Counter()
+        for x, y in zip(kept, kept[1:]):
+            moved = [(y[2 + k] - x[2 + k]) * pow(fingerprints.BASES[k], -x[0], p) % p for k, p in enumerate(fingerprints.PRIMES)]
+            out[x[1], y[0] - x[0], *moved] += 1
+        return out
+
+    x, y, longest = spans(a), spans(b), max(a[-1][0], b[-1][0])
+    return sum(min(n, y[k]) * k[1] for k, n in x.items()) / longest if longest else 1.0
+
+
+def brute_residues(text, n):
+    return tuple(sum((ord(c) + 1) * pow(b, j, p) for j, c in enumerate(text[:n])) % p for b, p in zip(fingerprints.BASES, fingerprints.PRIMES))
+
+
+def made(text):
+    return fingerprints.Prefixes(fingerprints.code_points(text)).fingerprint()
+
+
+def test_fingerprint_strings():
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgé漢") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = ["", "a", "abcdefgh", "abcdefghi", "x" * 5000, "ab" * 700, text(4), text(30), text(400), text(3000)]
+    for t in texts[:-1]:
+        f = made(t)
+        level, cuts = parsed(str(f))
+        assert len(cuts) <= fingerprints.CUTS + 1 and cuts[-1][0] == len(t)
+        assert all(brute_residues(t, c[0]) == c[2:] for c in cuts)
+        assert str(fingerprints.Fingerprint.parse(str(f))) == str(f)
+    pairs = [(a, b) for a in texts for b in texts]
+    for _ in range(150):
+        a = text(rng.choice([3, 20, 90, 500]))
+        at, n = rng.randrange(len(a)), rng.randrange(1, 40)
+        pairs.append((a, a[:at] + rng.choice(["", "Z", text(5), a[:80]]) + a[at + n :]))
+        pairs.append((a, "<p>" + a + " end"))
+        pairs.append((a, a[len(a) // 2 :] + a[: len(a) // 2]))
+    for a, b in pairs:
+        f, g = made(a), made(b)
+        got = fingerprints.alike(f, g)
+        assert got == pytest.approx(brute_alike(str(f), str(g)), abs=1e-12) and 0 <= got <= 1
+        assert (got == 1.0) == (a == b) or len(a) < 100
+        assert fingerprints.alike(fingerprints.Fingerprint.parse(str(f)), fingerprints.Fingerprint.parse(str(g))) == got
+    # a character changed at each end, and a passage put in, cost little; other texts share nothing
+    for n in (200, 1000, 3000):
+        a = text(n)
+        assert fingerprints.alike(made(a), made("#" + a[1:-1] + "#")) > 0.75
+        assert fingerprints.alike(made(a), made(a[: len(a) // 3] + " put in here " + a[len(a) // 3 :])) > 0.75
+        assert 0.35 < fingerprints.alike(made(a), made(fingerprints.edited(a, text(n)))) < 0.65
+        other = " ".join("".join(rng.choice("hijklm") for _ in range(6)) for _ in range(n))
+        assert fingerprints.alike(made(a), made(other)) == 0
+
+
+def test_fingerprint_query_columns(spark, docs):
+    out = fingerprints.fingerprint_neighbours(docs).collect()
+    after = {}
+    for r in out:
+        assert r["alike_edited"] == pytest.approx(brute_alike(r["fingerprint"], r["edited_fingerprint"]), abs=1e-12)
+        after.setdefault(r["doc_id"], r["fingerprint"])
+    ids = sorted((i for i in after if i is not None and 0 <= i < 120))
+    for r in out:
+        if r["doc_id"] in ids[:-1]:
+            assert r["alike_next"] == pytest.approx(brute_alike(r["fingerprint"], after[ids[ids.index(r["doc_id"]) + 1]]), abs=1e-12)
