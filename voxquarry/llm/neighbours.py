@@ -1,25 +1,31 @@
 """Approximate nearest neighbours by cosine: NN-descent graph and greedy search.
 
-Equal vectors are one node of the graph.  A first graph comes from random
-hyperplane leaves, in which everything is compared; NN-descent then improves it:
-in each round every node brings its neighbours (listed and listing) together and
-each of them keeps the nearest it meets, by joins and partition-wise merging of
-top-k lists.  Searches walk the graph greedily with a beam: a round joins the
-beam's unexpanded nodes with their neighbours, scores those not seen yet, and
-ends when a beam holds expanded nodes only.  The graph and the walk use vectors
-of 8-bit components; what the walk finds is scored again on the original vectors
+Equal vectors are one node of the graph, and vectors of each length have a graph of
+their own.  A first graph comes from random hyperplane leaves, in which members are
+compared; NN-descent then improves it: in each round the neighbours of a node, listed
+and listing, meet there, and each keeps the nearest it meets.  Only pairs of which one
+is new at that node are compared, and only what beats the last of a full list is sent.
+
+A node may be listed by any number of others.  The ``DEGREE`` nearest of these are its
+reverse neighbours; the others hang on it as a chain, each beside the next nearer one,
+so every list has a bounded length, no link is dropped, and every node can be reached
+from those it lists.
+
+Searches walk the graph greedily with a beam: a round joins the beam's unexpanded nodes
+with their neighbours, scores those not seen yet where their vectors lie, and ends when
+a beam holds expanded nodes only.  Graph and walk use unit vectors of 16-bit components
+and compare squared distances; the whole beam is scored again on the original vectors
 in double precision.
 
-Parameters: ``DEGREE`` neighbours kept for a node, ``ROUNDS`` of NN-descent,
-``BEAM`` nodes held by a search.  They set recall and cost, never which rows are
-indexed or searched.  No list is cut short by skew: a node that many list is
-joined in several slices, and the copies of a vector are one node.
+Parameters: ``DEGREE`` neighbours kept for a node, at most ``ROUNDS`` of NN-descent,
+``BEAM`` nodes held by a search (twice k at least).  They set recall and cost, never
+which rows are indexed or searched.
 
-Edge cases: vectors that are null, empty, zero, or hold a null or non-finite
-component take no part, nor do those whose length isn't the most frequent one
-(ties: the shorter); rows without an id take no part; of repeated rows of one id
-the bytewise least vector counts, once; other columns are not read; with fewer
-than k candidates there are fewer results; an empty table gives an empty result.
+Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component
+take no part; vectors of unlike length are no candidates of each other; rows without an
+id take no part; of repeated rows of one id the bytewise least vector counts, once;
+other columns are not read, whatever they are called; with fewer than k candidates
+there are fewer results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,27 +38,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_staged, shuffle_width, staged, table
+from .common import at, bounded_batches, drop_staged, numbered, shuffle_width, staged, table, worker
 
 DEGREE = 24
-ROUNDS = 4
+ROUNDS = 6
+#: Share of list entries that a round must renew for another to follow.
+SETTLED = 0.002
 BEAM = 224
 TREES = 4
 LEAF = 400
-#: Candidates that a member of a local join keeps of those it meets there.
-MET = 3
-#: Members of one local join, and reverse neighbours joined in one task.
-SLICE = 3 * DEGREE
-HUB = 2048
 #: Nodes where every search starts, besides the query's own.
 ENTRIES = 8
-#: Nodes of the final beam that are scored exactly.
-RESCORED = 48
-LISTS = "u long, ids binary, scores binary"
+#: A score below any other.
+NONE = np.float32(-9)
+LISTS = "u long, ids binary, scores binary, flags binary"
 
 
-def _pairs_batch(u, ids, scores) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(ids, pa.binary()), pa.array(scores, pa.binary())], names=["u", "ids", "scores"])
+def _lists(u, ids, scores, flags) -> pa.RecordBatch:
+    """Neighbour lists: ids, scores from the best, and for each entry whether it is new."""
+    columns = [pa.array(u, pa.int64()), *(pa.array(c, pa.binary()) for c in (ids, scores, flags))]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "ids", "scores", "flags"])
 
 
 def _clean(id_col: str, vec_col: str):
@@ -92,20 +97,29 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _code(batches):
-    """8-bit components of the unit vectors; a common factor of a vector doesn't matter after scaling by its norm."""
+    """16-bit components of the unit vectors; a common factor of a vector doesn't matter after scaling by its norm."""
     for batch in batches:
         rows = [unit(r) for r in batch["raw"].to_pylist()]
-        codes = [np.rint(x * (127 / np.abs(x).max())).astype(np.int8).tobytes() for x in rows]
+        codes = [np.rint(x * (32767 / np.abs(x).max())).astype("<i2").tobytes() for x in rows]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(codes, pa.binary())], names=["node", "code"])
 
 
 def decode(codes: list[bytes]) -> np.ndarray:
-    m = np.frombuffer(b"".join(codes), dtype=np.int8).reshape(len(codes), -1).astype(np.float32)
+    m = np.frombuffer(b"".join(codes), dtype="<i2").reshape(len(codes), -1).astype(np.float64)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _leaves(trees: int, bits: int, slices: int, centre: np.ndarray):
-    """(tree, leaf, slice) of each node by the signs of projections."""
+def closeness(m: np.ndarray) -> np.ndarray:
+    """Minus half the squared distances: ordered like the cosine, and precise where vectors nearly coincide."""
+    g, q = m @ m.T, (m * m).sum(axis=1) / 2
+    g -= q[:, None]
+    g -= q[None, :]
+    np.fill_diagonal(g, NONE)
+    return g
+
+
+def _leaves(trees: int, bits: int, centre: np.ndarray):
+    """(tree, leaf) of each node by the signs of projections."""
 
     def run(batches):
         planes = np.random.default_rng(7).normal(size=(trees, max(bits, 1), len(centre))).astype(np.float32)
@@ -150,7 +164,7 @@ def _runs(batches, keys: list[str], columns: list[str]):
 
 
 def _compare_all(degree: int, leaf_size: int):
-    """Top lists within each leaf, in slices of bounded size."""
+    """First lists within each leaf, in slices of bounded size."""
 
     def run(batches):
         for _, (nodes, codes) in _runs(batches, ["tree", "leaf", "part"], ["node", "code"]):
@@ -159,83 +173,126 @@ def _compare_all(degree: int, leaf_size: int):
                 ids, m = np.array(nodes[s::pieces], dtype=np.int64), decode(codes[s::pieces])
                 if len(ids) < 2:
                     continue
-                scores = m @ m.T
-                np.fill_diagonal(scores, -9)
+                scores = closeness(m)
                 top = _top(scores, min(degree, len(ids) - 1))
-                best = np.take_along_axis(scores, top, 1)
-                yield _pairs_batch(ids, [x.tobytes() for x in ids[top]], [x.tobytes() for x in best])
+                best = np.take_along_axis(scores, top, 1).astype(np.float32)
+                yield _lists(ids, [x.tobytes() for x in ids[top]], [x.tobytes() for x in best], [b"\x01" * top.shape[1]] * len(ids))
 
     return run
 
 
 def _keep_best(degree: int):
-    """Merge the lists of each u in a sorted partition into its best ``degree``."""
+    """Merge the lists of each u in a sorted partition into its best ``degree``; what an older list holds isn't new."""
 
-    def merge(u, ids, scores):
+    def merge(u, ids, scores, flags):
         sizes = [len(x) // 8 for x in ids]
         owner = np.repeat(np.array(u, dtype=np.int64), sizes)
         w, s = np.frombuffer(b"".join(ids), dtype=np.int64), np.frombuffer(b"".join(scores), dtype=np.float32)
-        order = np.lexsort((w, -s, owner))
-        owner, w, s = owner[order], w[order], s[order]
-        # The scores of a pair may differ in the last bits, so repeats are found by id.
-        again = np.lexsort((w, owner))
-        o2, w2 = owner[again], w[again]
+        f = np.frombuffer(b"".join(flags), dtype=np.uint8)
+        # The scores of a pair may differ in the last bits, so repeats are found by id; the older comes first.
+        order = np.lexsort((f, w, owner))
+        owner, w, s, f = owner[order], w[order], s[order], f[order]
         first = np.ones(len(w), bool)
-        same = (o2[1:] == o2[:-1]) & (w2[1:] == w2[:-1])
-        first[again[1:][same]] = False
-        owner, w, s = owner[first], w[first], s[first]
+        first[1:] = (owner[1:] != owner[:-1]) | (w[1:] != w[:-1])
+        owner, w, s, f = owner[first], w[first], s[first], f[first]
+        order = np.lexsort((w, -s, owner))
+        owner, w, s, f = owner[order], w[order], s[order], f[order]
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         rank = np.arange(len(owner)) - np.repeat(starts, np.diff([*starts, len(owner)]))
         keep = rank < degree
-        owner, w, s = owner[keep], w[keep], s[keep]
+        owner, w, s, f = owner[keep], w[keep], s[keep], f[keep]
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         ends = [*starts[1:].tolist(), len(owner)]
-        return _pairs_batch(owner[starts], [w[a:b].tobytes() for a, b in zip(starts, ends)], [s[a:b].tobytes() for a, b in zip(starts, ends)])
+        return _lists(owner[starts], *([x[a:b].tobytes() for a, b in zip(starts, ends)] for x in (w, s, f)))
 
     def run(batches):
-        u, ids, scores = [], [], []
+        held: list[list] = [[], [], [], []]
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("u", "ids", "scores"))):
-                if len(u) >= 50_000 and row[0] != u[-1]:
-                    yield merge(u, ids, scores)
-                    u, ids, scores = [], [], []
-                u.append(row[0])
-                ids.append(row[1])
-                scores.append(row[2])
-        if u:
-            yield merge(u, ids, scores)
+            for row in zip(*(batch[c].to_pylist() for c in ("u", "ids", "scores", "flags"))):
+                if len(held[0]) >= 50_000 and row[0] != held[0][-1]:
+                    yield merge(*held)
+                    held = [[], [], [], []]
+                for column, value in zip(held, row):
+                    column.append(value)
+        if held[0]:
+            yield merge(*held)
 
     return run
 
 
-def _edges(batches):
-    """A row for each edge u - w of the lists, with u's code."""
+def _aged(batches):
+    """Lists whose entries are old."""
+    for batch in batches:
+        yield _lists(batch["u"], batch["ids"], batch["scores"], [bytes(len(x)) for x in batch["flags"].to_pylist()])
+
+
+def _worst(degree: int):
+    """(u, worst, fresh): the score that a full list asks for, and its number of new entries."""
+
+    def run(batches):
+        for batch in batches:
+            scores = [np.frombuffer(x, dtype=np.float32) for x in batch["scores"].to_pylist()]
+            worst = [float(x[-1]) if len(x) >= degree else float(NONE) for x in scores]
+            fresh = [sum(x) for x in batch["flags"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["u"], pa.array(worst, pa.float32()), pa.array(fresh, pa.int64())], names=["u", "worst", "fresh"])
+
+    return run
+
+
+def _links(batches):
+    """(u, w, score, fresh): a row for each entry of the lists."""
     for batch in batches:
         ids = batch["ids"].to_pylist()
-        sizes = [len(x) // 8 for x in ids]
-        w = np.frombuffer(b"".join(ids), dtype=np.int64)
-        at = np.repeat(np.arange(len(ids)), sizes)
-        for a in range(0, len(w), 20_000):
-            some = pa.array(at[a : a + 20_000])
-            yield pa.RecordBatch.from_arrays([batch["u"].take(some), pa.array(w[a : a + 20_000]), batch["code"].take(some)], names=["u", "w", "code"])
-
-
-def _meet(batches):
-    """Local joins: members of a centre keep the nearest of those they meet."""
-    for _, (members, codes) in _runs(batches, ["centre", "part"], ["member", "code"]):
-        known = dict(zip(members, codes))
-        nodes, texts = list(known), list(known.values())
-        pieces = -(-len(nodes) // SLICE)
-        for s in range(pieces):
-            ids = np.array(nodes[s::pieces], dtype=np.int64)
-            if len(ids) < 2:
+        u = np.repeat(batch["u"].to_numpy(), [len(x) // 8 for x in ids])
+        columns = [pa.array(np.frombuffer(b"".join(x), dtype=t)) for x, t in ((ids, np.int64), (batch["scores"].to_pylist(), np.float32), (batch["flags"].to_pylist(), np.int8))]
+        yield pa.RecordBatch.from_arrays([pa.array(u), *columns], names=["u", "w", "score", "fresh"])
+
+
+def adjacency(graph: DataFrame, degree: int) -> DataFrame:
+    """(centre, member, fresh): listed nodes, the nearest listing ones, and the next in the chains of all others.
+
+    The window streams over the listing nodes of one node, sorted with spill.
+    """
+    links = graph.mapInArrow(worker(_links), "u long, w long, score float, fresh tinyint")
+    by = W.partitionBy("w").orderBy(F.desc("score"), "u")
+    ranked = links.select("u", "w", "fresh", F.row_number().over(by).alias("r"), F.lag("u").over(by).alias("nearer"))
+    holder = F.when(F.col("r") <= degree, F.col("w")).otherwise(F.col("nearer"))
+    both = F.explode(F.array(
+        F.struct(F.col("u").alias("centre"), F.col("w").alias("member"), "fresh"), F.struct(holder.alias("centre"), F.col("u").alias("member"), "fresh"),
+    ))
+    return ranked.select(both.alias("x")).select("x.*")
+
+
+def _meet(degree: int):
+    """Local joins: members of a centre keep what they meet there and their lists have room for."""
+
+    def run(batches):
+        for _, (members, codes, worst, fresh) in _runs(batches, ["centre"], ["member", "code", "worst", "fresh"]):
+            known: dict[int, int] = {}
+            for i, member in enumerate(members):
+                if member not in known or fresh[i] > fresh[known[member]]:
+                    known[member] = i
+            if len(known) < 2:
                 continue
-            m = decode(texts[s::pieces])
-            scores = m @ m.T
-            np.fill_diagonal(scores, -9)
-            top = _top(scores, min(MET, len(ids) - 1))
+            at = list(known.values())
+            ids, new = np.array([members[i] for i in at], dtype=np.int64), np.array([fresh[i] for i in at], dtype=bool)
+            if not new.any():
+                continue
+            scores = closeness(decode([codes[i] for i in at])).astype(np.float32)
+            scores[~(new[:, None] | new[None, :])] = NONE
+            scores[scores <= np.array([worst[i] for i in at], dtype=np.float32)[:, None]] = NONE
+            top = _top(scores, min(degree, len(ids) - 1))
             best = np.take_along_axis(scores, top, 1)
-            yield _pairs_batch(ids, [x.tobytes() for x in ids[top]], [x.tobytes() for x in best])
+            some = best > NONE
+            counts = some.sum(axis=1)
+            got = np.flatnonzero(counts)
+            if not len(got):
+                continue
+            cuts = np.cumsum(counts)[:-1]
+            u, w, s = ids[got], np.split(ids[top][some], cuts), np.split(best[some], cuts)
+            yield _lists(u, [w[i].tobytes() for i in got], [s[i].tobytes() for i in got], [b"\x01" * int(counts[i]) for i in got])
+
+    return run
 
 
 def _in_tasks(batches):
@@ -267,22 +324,20 @@ def _free_shuffles(spark) -> None:
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, raw) of the rows that take part, staged."""
+    """(id, raw, size) of the rows that take part, staged."""
     bounded_batches(df.sparkSession)
-    rows = df.select(id_col, vec_col).mapInArrow(_clean(id_col, vec_col), "id long, raw binary, size int")
-    rows = staged(rows, "vectors")
-    sizes = rows.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
-        return rows.select("id", "raw")
-    return rows.filter(F.col("size") == sizes[0]["size"]).groupBy("id").agg(F.min("raw").alias("raw"))
+    rows = numbered(df).select(at(df, id_col).cast("bigint").alias("id"), at(df, vec_col).alias("vector"))
+    rows = staged(rows.mapInArrow(worker(_clean("id", "vector")), "id long, raw binary, size int"), "vectors")
+    least = F.min(F.struct("raw", "size")).alias("v")
+    return rows.groupBy("id").agg(least).select("id", "v.raw", "v.size")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, leaf_size: int = LEAF) -> DataFrame:
-    """Neighbour lists (u, ids, scores) of ``nodes`` (node, code)."""
+    """Neighbour lists (LISTS) of ``nodes`` (node, code)."""
     spark = nodes.sparkSession
     n = nodes.count()
     by_u = lambda lists: staged(
-        lists.repartition(shuffle_width(spark), "u").sortWithinPartitions("u").mapInArrow(_keep_best(degree), LISTS), "graph"
+        lists.repartition(shuffle_width(spark), "u").sortWithinPartitions("u").mapInArrow(worker(_keep_best(degree)), LISTS), "graph"
     )
     if n < 2:
         return spark.createDataFrame([], LISTS)
@@ -291,11 +346,11 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
     def add_up(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([decode(batch["code"].to_pylist()).astype("<f8").sum(axis=0).tobytes()], pa.binary())], names=["sum"])
+                yield pa.RecordBatch.from_arrays([pa.array([decode(batch["code"].to_pylist()).sum(axis=0).tobytes()], pa.binary())], names=["sum"])
 
-    sums = nodes.select("code").mapInArrow(add_up, "sum binary")
+    sums = nodes.select("code").mapInArrow(worker(add_up), "sum binary")
     # A vector for each Arrow batch: summed up by Spark, position by position.
-    width = len(nodes.first()["code"])
+    width = len(nodes.first()["code"]) // 2
 
     def positions(batches):
         for batch in batches:
@@ -303,45 +358,36 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int64()), pa.array(m)], names=["at", "part"])
 
     centre = np.zeros(width, np.float32)
-    for row in sums.mapInArrow(positions, "at long, part double").groupBy("at").agg(F.sum("part").alias("total")).collect():
+    for row in sums.mapInArrow(worker(positions), "at long, part double").groupBy("at").agg(F.sum("part").alias("total")).collect():
         centre[row["at"]] = row["total"] / n
 
-    dealt = staged(nodes.select("node", "code").mapInArrow(_leaves(trees, bits, 1, centre), "tree int, leaf long, node long, code binary"), "leaves")
+    dealt = staged(nodes.select("node", "code").mapInArrow(worker(_leaves(trees, bits, centre)), "tree int, leaf long, node long, code binary"), "leaves")
     sizes = dealt.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     # A leaf of many rows is dealt to several tasks.
     parts = F.ceil(F.col("n") / (4 * leaf_size)).cast("int")
     placed = dealt.join(sizes, ["tree", "leaf"]).select("tree", "leaf", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "code")
     by = ["tree", "leaf", "part"]
-    first = placed.repartition(shuffle_width(spark), *by).sortWithinPartitions(*by).mapInArrow(_chained(_compare_all(degree, leaf_size), _in_tasks), LISTS)
+    first = placed.repartition(shuffle_width(spark), *by).sortWithinPartitions(*by).mapInArrow(worker(_chained(_compare_all(degree, leaf_size), _in_tasks)), LISTS)
     graph = by_u(first)
     drop_staged(dealt)
-    if not bits:
-        return graph  # everything was compared with everything
     for _ in range(rounds):
-        edges = graph.join(nodes.withColumnRenamed("node", "u"), "u").select("u", "ids", "code").mapInArrow(_edges, "u long, w long, code binary")
-        listing = graph.mapInArrow(_listed, "w long").groupBy("w").agg(F.count("*").alias("n"))
-        ends = nodes.join(listing, nodes["node"] == listing["w"]).select("w", F.col("code").alias("w_code"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
-        met = edges.join(ends, "w")
-        # Both ends of an edge meet at each other's centre.
-        halves = F.explode(F.array(
-            F.struct(F.col("u").alias("centre"), F.lit(0).alias("part"), F.col("w").alias("member"), F.col("w_code").alias("code")),
-            F.struct(F.col("w").alias("centre"), F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.col("u").alias("member"), F.col("code").alias("code")),
-        ))
-        rows = met.select(halves.alias("x")).select("x.*").repartition(shuffle_width(spark), "centre", "part").sortWithinPartitions("centre", "part")
-        found = rows.mapInArrow(_chained(_meet, _in_tasks), LISTS)
-        better = by_u(found.unionByName(graph))
+        limits = graph.mapInArrow(worker(_worst(degree)), "u long, worst float, fresh long")
+        if limits.agg(F.sum("fresh")).first()[0] <= SETTLED * n * degree:
+            break
+        known = nodes.join(limits.select(F.col("u").alias("node"), "worst"), "node", "left")
+        known = known.select(F.col("node").alias("member"), "code", F.coalesce("worst", F.lit(float(NONE)).cast("float")).alias("worst"))
+        own = nodes.select(F.col("node").alias("centre"), F.col("node").alias("member"), F.lit(0).cast("tinyint").alias("fresh"))
+        rows = adjacency(graph, degree).unionByName(own).join(known, "member").select("centre", "member", "code", "worst", "fresh")
+        rows = rows.repartition(shuffle_width(spark), "centre").sortWithinPartitions("centre")
+        found = rows.mapInArrow(worker(_chained(_meet(degree), _in_tasks)), LISTS)
+        better = by_u(found.unionByName(graph.mapInArrow(worker(_aged), LISTS)))
         drop_staged(graph)
         graph = better
         _free_shuffles(spark)
     return graph
 
 
-def _listed(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["ids"].to_pylist()), dtype=np.int64))], names=["w"])
-
-
-STATE = "q long, code binary, ids binary, scores binary, done binary, seen binary, fresh binary, waiting int"
+STATE = "q long, code binary, ids binary, scores binary, done binary, seen binary, fresh binary, waiting int, worst float"
 
 
 def _start(entries: list[int]):
@@ -350,48 +396,69 @@ def _start(entries: list[int]):
             rows = []
             for q, code in zip(batch["q"].to_pylist(), batch["code"].to_pylist()):
                 fresh = np.unique(np.array([q, *entries], dtype=np.int64))
-                rows.append((q, code, b"", b"", b"", fresh.tobytes(), fresh.tobytes(), len(fresh)))
+                rows.append((q, code, b"", b"", b"", fresh.tobytes(), fresh.tobytes(), len(fresh), float(NONE)))
             yield _state_batch(rows)
 
     return run
 
 
 def _state_batch(rows) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 8
-    types = [pa.int64(), *[pa.binary()] * 6, pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["q", "code", "ids", "scores", "done", "seen", "fresh", "waiting"])
+    columns = list(zip(*rows)) or [[]] * 9
+    types = [pa.int64(), *[pa.binary()] * 6, pa.int32(), pa.float32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["q", "code", "ids", "scores", "done", "seen", "fresh", "waiting", "worst"])
 
 
 def _wanted(batches):
-    """(q, node) of the nodes whose vectors a search asks for."""
+    """(q, node, code, worst) of the nodes that a search asks for, with its own vector and the score that its beam asks for."""
     for batch in batches:
-        fresh = batch["fresh"].to_pylist()
-        q = np.repeat(batch["q"].to_numpy(), [len(x) // 8 for x in fresh])
+        fresh, asks = batch["fresh"].to_pylist(), batch.select(["q", "code", "worst"])
+        at = np.repeat(np.arange(len(fresh)), [len(x) // 8 for x in fresh])
         w = np.frombuffer(b"".join(fresh), dtype=np.int64)
         for a in range(0, len(w), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 20_000]), pa.array(w[a : a + 20_000])], names=["q", "node"])
+            rows = asks.take(pa.array(at[a : a + 20_000]))
+            yield pa.RecordBatch.from_arrays([rows["q"], pa.array(w[a : a + 20_000]), rows["code"], rows["worst"]], names=["q", "node", "code", "worst"])
+
+
+def _score(beam: int):
+    """Score what searches ask for where it lies; of a batch, each search is sent the best only."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = decode(batch["code"].to_pylist()), decode(batch["at_node"].to_pylist())
+            s = (-((a - b) ** 2).sum(axis=1) / 2).astype(np.float32)
+            some = s > batch["worst"].to_numpy()
+            q, w, s = batch["q"].to_numpy()[some], batch["node"].to_numpy()[some], s[some]
+            order = np.lexsort((w, -s, q))
+            q, w, s = q[order], w[order], s[order]
+            starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
+            ends = np.minimum([*starts[1:].tolist(), len(q)][: len(starts)], starts + beam + 1)
+            parts = [[x[i:j].tobytes() for i, j in zip(starts, ends)] for x in (w, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(q[starts]), *(pa.array(x, pa.binary()) for x in parts)], names=["q", "near", "near_scores"])
+
+    return run
 
 
 def _advance(beam: int):
-    """Score the vectors that came for each search and say which nodes to expand."""
+    """Take the scored nodes that came for each search into its beam and say which nodes to expand."""
 
     def run(batches):
         rows = []
-        for (q,), cols in _runs(batches, ["q"], ["kind", "node", "code", "ids", "scores", "done", "seen"]):
-            kind, node, codes, ids, scores, done, seen = cols
+        for (q,), cols in _runs(batches, ["q"], ["kind", "near", "near_scores", "code", "ids", "scores", "done", "seen"]):
+            kind, near, near_scores, codes, ids, scores, done, seen = cols
             at = kind.index(0)
-            own = decode([codes[at]])[0]
             new = [i for i in range(len(kind)) if kind[i]]
-            w = np.concatenate([np.frombuffer(ids[at], np.int64), np.array([node[i] for i in new], dtype=np.int64)])
-            s = np.frombuffer(scores[at], np.float32)
-            if new:
-                s = np.concatenate([s, decode([codes[i] for i in new]) @ own])
-            d = np.concatenate([np.frombuffer(done[at], np.uint8), np.zeros(len(new), np.uint8)])
+            came = np.frombuffer(b"".join(near[i] for i in new), np.int64)
+            w = np.concatenate([np.frombuffer(ids[at], np.int64), came])
+            s = np.concatenate([np.frombuffer(scores[at], np.float32), np.frombuffer(b"".join(near_scores[i] for i in new), np.float32)])
+            d = np.concatenate([np.frombuffer(done[at], np.uint8), np.zeros(len(came), np.uint8)])
             # The query's own node is expanded but takes no place in the beam's order of others.
             order = np.lexsort((w, -s))[: beam + 1]
-            w, s, d = w[order], s[order].astype(np.float32), d[order]
+            w, s, d = w[order], s[order], d[order]
             fresh = w[d == 0]
-            rows.append((q, codes[at], w.tobytes(), s.tobytes(), np.ones(len(w), np.uint8).tobytes(), seen[at], fresh.tobytes(), len(fresh)))
+            worst = float(s[-1]) if len(s) > beam else float(NONE)
+            rows.append((q, codes[at], w.tobytes(), s.tobytes(), np.ones(len(w), np.uint8).tobytes(), seen[at], fresh.tobytes(), len(fresh), worst))
             if len(rows) >= 200:
                 yield _state_batch(rows)
                 rows = []
@@ -404,13 +471,13 @@ def _advance(beam: int):
 def _unseen(batches):
     """Of the neighbours that came for each search, those it hasn't seen."""
     rows = []
-    for (q,), cols in _runs(batches, ["q"], ["kind", "near", "code", "ids", "scores", "done", "seen"]):
-        kind, near, codes, ids, scores, done, seen = cols
+    for (q,), cols in _runs(batches, ["q"], ["kind", "near", "code", "ids", "scores", "done", "seen", "worst"]):
+        kind, near, codes, ids, scores, done, seen, worst = cols
         at = kind.index(0)
         came = np.unique(np.frombuffer(b"".join(near[i] for i in range(len(kind)) if kind[i]), dtype=np.int64))
         old = np.frombuffer(seen[at], np.int64)
         new = np.setdiff1d(came, old, assume_unique=True)
-        rows.append((q, codes[at], ids[at], scores[at], done[at], np.union1d(old, new).tobytes(), new.tobytes(), len(new)))
+        rows.append((q, codes[at], ids[at], scores[at], done[at], np.union1d(old, new).tobytes(), new.tobytes(), len(new), worst[at]))
         if len(rows) >= 200:
             yield _state_batch(rows)
             rows = []
@@ -418,58 +485,53 @@ def _unseen(batches):
         yield _state_batch(rows)
 
 
-def _sources(batches):
-    """Listing nodes gathered by the node they list, in bounded rows."""
-    for (w,), (u,) in _runs(batches, ["w"], ["u"]):
-        for a in range(0, len(u), HUB):
-            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int64()), pa.array([np.array(u[a : a + HUB], np.int64).tobytes()], pa.binary())], names=["node", "near"])
-
-
-def _uw(batches):
-    for batch in batches:
-        ids = batch["ids"].to_pylist()
-        u = np.repeat(batch["u"].to_numpy(), [len(x) // 8 for x in ids])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.frombuffer(b"".join(ids), dtype=np.int64))], names=["u", "w"])
+def _around(batches):
+    """Members of each centre in a sorted partition."""
+    for (centre,), (members,) in _runs(batches, ["centre"], ["member"]):
+        yield pa.RecordBatch.from_arrays([pa.array([centre], pa.int64()), pa.array([np.unique(np.array(members, np.int64)).tobytes()], pa.binary())], names=["node", "near"])
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
-    """(q, node) of the beam's nearest nodes for ``queries`` (q, code); q may be a node itself.
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, degree: int = DEGREE, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
+    """(q, node) of the nodes in the last beam of each of ``queries`` (q, code); q may be a node itself.
 
     Each round joins twice: expanded nodes with their neighbours, and neighbours
     not seen before with their vectors.
     """
     spark = graph.sparkSession
     width = shuffle_width(spark)
-    edges = graph.mapInArrow(_uw, "u long, w long")
-    hub = F.pmod(F.xxhash64("u"), F.lit(8))
-    listing = edges.withColumn("salt", hub).repartition(width, "w", "salt").sortWithinPartitions("w", "salt").mapInArrow(_chained(_sources, _in_tasks), "node long, near binary")
-    around = staged(graph.select(F.col("u").alias("node"), F.col("ids").alias("near")).unionByName(listing), "around")
+    held = adjacency(graph, degree).select("centre", "member").repartition(width, "centre").sortWithinPartitions("centre")
+    around = staged(held.mapInArrow(worker(_chained(_around, _in_tasks)), "node long, near binary"), "around")
     first = [r["node"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(entries).select("node").collect()]
-    state = staged(queries.mapInArrow(_start(first), STATE), "search")
-    own = ["code", "ids", "scores", "done", "seen"]
+    state = staged(queries.mapInArrow(worker(_start(first)), STATE), "search")
+    own, null = ["code", "ids", "scores", "done", "seen", "worst"], F.lit(None).cast("binary")
+    empty = [null.alias(c) for c in own[:-1]] + [F.lit(None).cast("float").alias("worst")]
+    vectors_ = nodes.select("node", F.col("code").alias("at_node"))
     while True:
-        wanted = state.mapInArrow(_wanted, "q long, node long").join(nodes, "node")
-        base = state.select("q", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("node"), *own)
-        came = wanted.select("q", F.lit(1).alias("kind"), "node", "code", *[F.lit(None).cast("binary").alias(c) for c in own[1:]])
-        scored = base.unionByName(came).repartition(width, "q").sortWithinPartitions("q").mapInArrow(_advance(beam), STATE)
+        wanted = state.mapInArrow(worker(_wanted), "q long, node long, code binary, worst float").join(vectors_, "node")
+        came = wanted.mapInArrow(worker(_score(beam)), "q long, near binary, near_scores binary")
+        came = came.select("q", F.lit(1).alias("kind"), "near", "near_scores", *empty)
+        base = state.select("q", F.lit(0).alias("kind"), null.alias("near"), null.alias("near_scores"), *own)
+        scored = base.unionByName(came).repartition(width, "q").sortWithinPartitions("q").mapInArrow(worker(_advance(beam)), STATE)
         scored = staged(scored, "search")
         drop_staged(state)
         if not scored.agg(F.sum("waiting")).first()[0]:
             break
-        near = scored.mapInArrow(_wanted, "q long, node long").join(around, "node")
-        base = scored.select("q", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("near"), *own)
-        came = near.select("q", F.lit(1).alias("kind"), "near", *[F.lit(None).cast("binary").alias(c) for c in own])
-        state = staged(base.unionByName(came).repartition(width, "q").sortWithinPartitions("q").mapInArrow(_unseen, STATE), "search")
+        near = scored.mapInArrow(worker(_wanted), "q long, node long, code binary, worst float").select("q", "node").join(around, "node")
+        base = scored.select("q", F.lit(0).alias("kind"), null.alias("near"), *own)
+        came = near.select("q", F.lit(1).alias("kind"), "near", *empty)
+        state = staged(base.unionByName(came).repartition(width, "q").sortWithinPartitions("q").mapInArrow(worker(_unseen), STATE), "search")
         drop_staged(scored)
     drop_staged(around)
 
     def found(batches):
         for batch in batches:
-            ids = [x[: 8 * RESCORED] for x in batch["ids"].to_pylist()]
+            ids = batch["ids"].to_pylist()
             q = np.repeat(batch["q"].to_numpy(), [len(x) // 8 for x in ids])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.frombuffer(b"".join(ids), dtype=np.int64))], names=["q", "node"])
 
-    return staged(scored.mapInArrow(found, "q long, node long"), "found")
+    out = staged(scored.mapInArrow(worker(found), "q long, node long"), "found")
+    drop_staged(scored)
+    return out
 
 
 def _exact(batches):
@@ -478,22 +540,38 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([batch["q"], batch["node"], pa.array(scores, pa.float64())], names=["q", "node", "score"])
 
 
+ANSWER = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, **options) -> DataFrame:
     """The k nearest other rows of each row where ``is_query`` (a function of the id column) holds."""
+    spark = df.sparkSession
     rows = staged(vectors(df, id_col, vec_col), "vectors")
+    sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.count(F.when(is_query(F.col("id")), 1)).alias("asked"))
+    out = spark.createDataFrame([], ANSWER)
+    # A row, and a graph, for each length that vectors have.
+    for size in sorted(r["size"] for r in sizes.filter("n > 1 AND asked > 0").collect()):
+        out = out.unionByName(_nearest(rows.filter(F.col("size") == size).select("id", "raw"), is_query, k, options))
+    return out
+
+
+def _nearest(rows: DataFrame, is_query, k: int, options: dict) -> DataFrame:
+    """:func:`nearest` of rows (id, raw) of one length."""
     order = W.partitionBy("raw").orderBy("id")
     # Of equal vectors the first k + 1 are enough for any answer; the limit is pushed below the shuffle.
     few = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     few = staged(few.select("id", "raw", "r"), "members")
     heads = staged(few.filter("r = 1").select(F.col("id").alias("node"), "raw"), "heads")
     members = few.join(heads, "raw").select("node", "id")
-    nodes = staged(heads.mapInArrow(_code, "node long, code binary"), "nodes")
+    nodes = staged(heads.mapInArrow(worker(_code), "node long, code binary"), "nodes")
     graph = build_graph(nodes, **{a: b for a, b in options.items() if a in ("degree", "rounds", "trees", "leaf_size")})
     asked = staged(rows.filter(is_query(F.col("id"))).join(heads, "raw").select("id", "node"), "asked")
     queries = asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), "code")
-    found = search(graph, nodes, queries, **{a: b for a, b in options.items() if a in ("beam", "entries")})
+    walk = {a: b for a, b in options.items() if a in ("degree", "entries")}
+    found = search(graph, nodes, queries, beam=max(options.get("beam", BEAM), 2 * k), **walk)
+    drop_staged(graph)
     pairs = found.join(heads, "node").join(heads.select(F.col("node").alias("q"), F.col("raw").alias("q_raw")), "q")
-    scored = staged(pairs.select("q", "node", "raw", "q_raw").mapInArrow(_exact, "q long, node long, score double"), "scored")
+    scored = staged(pairs.select("q", "node", "raw", "q_raw").mapInArrow(worker(_exact), "q long, node long, score double"), "scored")
     best = W.partitionBy("q").orderBy(F.desc("score"), "id")
     top = scored.join(members, "node").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     answers = asked.select(F.col("id").alias("query_id"), F.col("node").alias("q")).join(top, "q").filter("id <> query_id")
