@@ -269,10 +269,9 @@ def train_dictionary(bodies: list[bytes], level: str = "default") -> bytes | Non
     step = max(1, -(-len(bodies) // DICT_MOST))
     samples, size = [], 0
     for body in bodies[::step]:
-        if size + len(body) > DICT_MOST_BYTES:
-            break
-        samples.append(body)
-        size += len(body)
+        # Cut, so that large bodies leave room for all of the world.
+        samples.append(body[: DICT_MOST_BYTES // DICT_MOST])
+        size += len(samples[-1])
     if level == "none" or len(samples) < DICT_SAMPLES or size < DICT_BYTES:
         return None
     try:

@@ -2,8 +2,10 @@
 
 Rows are cut into stretches of the order key (``key div width``); windows run
 inside a stretch, and a table with one row per stretch carries totals or last
-values across.  Keys are integers; ``width`` bounds the rows of a stretch where
-keys are unique.
+values over.  That table is cut into stretches of its own (``FAR`` of the first
+ones), so however sparse 64-bit keys are, no window holds more than 2**24 rows.
+Keys are integers; ``width`` bounds the rows of a stretch where keys are unique.
+Rows with a null key come first, in no particular order among themselves.
 """
 
 from __future__ import annotations
@@ -13,20 +15,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 18
+FAR = 1 << 22
 
 
 def _stretched(df: DataFrame, key: str, width: int) -> DataFrame:
     return df.withColumn("_stretch", F.expr(f"{key} div {width}"))
 
 
+def _matched(rows: DataFrame, carried: DataFrame, on: str) -> DataFrame:
+    """Join on equal values, null being one of them; ``carried`` has a row for each."""
+    other = carried.withColumnRenamed(on, "_on")
+    return rows.join(other, rows[on].eqNullSafe(other["_on"])).drop("_on")
+
+
+def _carry(totals: DataFrame, combine, both) -> DataFrame:
+    """(_stretch, _carry): the ``combine``d totals (_stretch, _total) of all stretches before; ``both`` joins two levels."""
+    t = totals.withColumn("_far", F.expr(f"_stretch div {FAR}"))
+    far = t.groupBy("_far").agg(combine("_total", "_stretch").alias("_total"))
+    earlier = combine("_total", "_far").over(W.orderBy("_far").rowsBetween(W.unboundedPreceding, -1))
+    near = combine("_total", "_stretch").over(W.partitionBy("_far").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
+    joined = _matched(t.withColumn("_near", near), far.select("_far", earlier.alias("_earlier")), "_far")
+    return joined.select("_stretch", both(F.col("_near"), F.col("_earlier")).alias("_carry"))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of what isn't null."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
 def running_sum(df: DataFrame, key: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
     """Sum of ``value`` over all rows up to this one in ``key`` order."""
     d = _stretched(df, key, width)
     totals = d.groupBy("_stretch").agg(F.sum(value).alias("_total"))
-    before = F.coalesce(F.sum("_total").over(W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    carried = totals.select("_stretch", before.alias("_before"))
+    carried = _carry(totals, lambda v, _: F.sum(v), _plus)
     inside = F.sum(value).over(W.partitionBy("_stretch").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn(out, inside).join(carried, "_stretch").withColumn(out, F.col(out) + F.col("_before")).drop("_stretch", "_before")
+    return _matched(d.withColumn(out, inside), carried, "_stretch").withColumn(out, _plus(F.col(out), F.col("_carry"))).drop("_stretch", "_carry")
 
 
 def row_index(df: DataFrame, key: str, out: str, width: int = WIDTH) -> DataFrame:
@@ -38,11 +61,13 @@ def row_index(df: DataFrame, key: str, out: str, width: int = WIDTH) -> DataFram
 def lagged(df: DataFrame, key: str, value: str, out: str, default: Column, width: int = WIDTH) -> DataFrame:
     """``value`` of the row before in ``key`` order, ``default`` for the first."""
     d = _stretched(df, key, width)
-    lasts = d.groupBy("_stretch").agg(F.max_by(value, key).alias("_last"))
-    carried = lasts.select("_stretch", F.coalesce(F.lag("_last").over(W.orderBy("_stretch")), default).alias("_carry"))
+    last = lambda v, by: F.max_by(v, F.struct(by))
+    lasts = d.groupBy("_stretch").agg(last(F.struct(F.col(value).alias("v")), key).alias("_total"))
+    carried = _carry(lasts, last, F.coalesce)
     inside = F.lag(F.struct(F.col(value).alias("v"))).over(W.partitionBy("_stretch").orderBy(key))
-    with_lag = d.withColumn("_lag", inside).join(carried, "_stretch")
-    return with_lag.withColumn(out, F.when(F.col("_lag").isNull(), F.col("_carry")).otherwise(F.col("_lag.v"))).drop("_stretch", "_lag", "_carry")
+    before = F.coalesce("_lag", "_carry")
+    with_lag = _matched(d.withColumn("_lag", inside), carried, "_stretch")
+    return with_lag.withColumn(out, F.when(before.isNull(), default).otherwise(before["v"])).drop("_stretch", "_lag", "_carry")
 
 
 def delta_encode(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -75,12 +100,12 @@ def first_use_ids(df: DataFrame, content: str, position: str) -> DataFrame:
 def first_use_violations(df: DataFrame, key: str, ident: str, width: int = WIDTH) -> DataFrame:
     """Rows whose id is neither known nor the next: more than the largest id before it plus one."""
     d = _stretched(df, key, width)
-    peaks = d.groupBy("_stretch").agg(F.max(ident).alias("_peak"))
-    before = F.coalesce(F.max("_peak").over(W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    peaks = d.groupBy("_stretch").agg(F.max(ident).alias("_total"))
+    carried = _carry(peaks, lambda v, _: F.max(v), F.greatest)
     inside = F.max(ident).over(W.partitionBy("_stretch").orderBy(key).rowsBetween(W.unboundedPreceding, -1))
-    joined = d.withColumn("_inside", inside).join(peaks.select("_stretch", before.alias("_before")), "_stretch")
-    known = F.greatest("_inside", "_before")
-    return joined.withColumn("known_max", known.cast("bigint")).filter(F.col(ident) > F.col("known_max") + 1).drop("_stretch", "_inside", "_before")
+    known = F.coalesce(F.greatest("_inside", "_carry"), F.lit(-1))
+    joined = _matched(d.withColumn("_inside", inside), carried, "_stretch")
+    return joined.withColumn("known_max", known.cast("bigint")).filter(F.col(ident) > F.col("known_max") + 1).drop("_stretch", "_inside", "_carry")
 
 
 def trim_trailing(df: DataFrame, group: list[str], position: str, keeps) -> DataFrame:

@@ -11,7 +11,8 @@ def canonical_palette(df: DataFrame, key: str) -> DataFrame:
     """Distinct ``key`` values with their canonical reference.
 
     Rank 0 is the most used value; equal counts order by bytes.  The window runs
-    on the aggregated dictionary, never on the rows.
+    on the aggregated dictionary, never on the rows: one task orders all entries,
+    which the format bounds for palettes and the caller for other dictionaries.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("uses"))
     return ranked(counts, F.desc("uses"), F.col(key)).select("ref", key, "uses")
@@ -63,17 +64,25 @@ def elect_default(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return counts.groupBy(*group).agg(best.alias("w")).select(*group, F.col("w.b").alias(value), (-F.col("w.a")).alias("votes"))
 
 
+def _with_default(df: DataFrame, defaults: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``df`` with ``_default`` of each row's group; a null group is a group like any other."""
+    d = defaults.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_default"))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & df[g].eqNullSafe(d[f"_g{i}"])
+    return df.join(d, same).drop(*[f"_g{i}" for i in range(len(group))])
+
+
 def elide_default(df: DataFrame, defaults: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Rows that differ from their group's default."""
-    d = defaults.select(*group, F.col(value).alias("_default"))
-    return df.join(d, group).filter(F.col(value) != F.col("_default")).drop("_default")
+    """Rows that differ from their group's default; null is a value like any other."""
+    return _with_default(df, defaults, group, value).filter(~F.col(value).eqNullSafe(F.col("_default"))).drop("_default")
 
 
 def fill_default(keys: DataFrame, kept: DataFrame, defaults: DataFrame, key: list[str], group: list[str], value: str) -> DataFrame:
-    """All ``keys`` with the kept value, or else the group's default."""
-    d = defaults.select(*group, F.col(value).alias("_default"))
-    joined = keys.join(kept.select(*key, value), key, "left").join(d, group)
-    return joined.withColumn(value, F.coalesce(value, "_default")).drop("_default")
+    """All ``keys`` with the kept value, which may be null, or else the group's default."""
+    joined = keys.join(kept.select(*key, value, F.lit(True).alias("_kept")), key, "left")
+    filled = F.when(F.col("_kept"), F.col(value)).otherwise(F.col("_default"))
+    return _with_default(joined, defaults, group, value).withColumn(value, filled).drop("_default", "_kept")
 
 
 def local_palette(values):

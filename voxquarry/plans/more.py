@@ -28,10 +28,10 @@ def blob_join(spark, d):
     return refs.join(blobs, "blob_id").select("doc_id", "size")
 
 
-@register("bitset_bits", "SELECT doc_id, i FROM (SELECT doc_id, i, CAST('0x' || substr(sha256(text), 2 * (i // 8) + 1, 2) AS INTEGER) AS b FROM documents, (SELECT unnest(range(0, 24))::INTEGER AS i)) WHERE (b >> (i % 8)) & 1 = 1")
+@register("bitset_bits", "SELECT doc_id, i FROM (SELECT doc_id, i, CAST('0x' || substr(sha256(text), 2 * (i // 8) + 1, 2) AS INTEGER) AS b FROM documents, (SELECT unnest(range(0, 256))::INTEGER AS i)) WHERE (b >> (i % 8)) & 1 = 1")
 def bitset_bits(spark, d):
     """Positions of the set bits of a presence bitset."""
-    rows = table(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("bits"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    rows = table(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("bits"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
     return rows.filter(bit_at(F.col("bits"), F.col("i")) == 1).select("doc_id", "i")
 
 
@@ -57,14 +57,14 @@ def user_data_update(spark, d):
 
 
 def _box(spark, d):
-    """The blocks below x 16, z 16 as (world_id, x, y, z, layer, state_ref) and a palette."""
-    cells = blocks(spark, d).filter("x < 16 AND z < 16").withColumn("ref", F.ascii(F.substring("state", 1, 1)) * 256 + F.ascii(F.substring("state", 2, 1)))
+    """All blocks as (world_id, x, y, z, layer, state_ref) and a palette."""
+    cells = blocks(spark, d).withColumn("ref", F.ascii(F.substring("state", 1, 1)) * 256 + F.ascii(F.substring("state", 2, 1)))
     flat = cells.select(F.lit("s").alias("world_id"), "x", "y", "z", F.lit(0).alias("layer"), F.col("ref").cast("int").alias("state_ref"))
     palette = cells.select(F.lit("s").alias("world_id"), F.col("ref").cast("int").alias("ref"), F.col("state").alias("name")).distinct()
     return flat, palette
 
 
-BOX = f"SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, state FROM ({CELLS}) WHERE x < 16 AND z < 16"
+BOX = f"SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, state FROM ({CELLS})"
 
 
 @register("export_single_layer", f"""
@@ -76,10 +76,10 @@ def export_single_layer(spark, d):
     return voxels.export_single_layer(flat, palette).select("x", "y", "z", "id")
 
 
-@register("export_layers", f"SELECT x * 16 * 16 + y * 16 + z AS flat, ascii(state) * 256 + ascii(substr(state, 2)) AS block, -1 AS extra FROM ({BOX})")
+@register("export_layers", f"SELECT x * 16 * 32 + y * 32 + z AS flat, ascii(state) * 256 + ascii(substr(state, 2)) AS block, -1 AS extra FROM ({BOX})")
 def export_layers(spark, d):
     flat, _ = _box(spark, d)
-    return voxels.export_layers(flat, (16, 16, 16)).select("flat", "block", "extra")
+    return voxels.export_layers(flat, (64, 16, 32)).select("flat", "block", "extra")
 
 
 @register("biome_election", """

@@ -454,12 +454,12 @@ def flag_bits(spark, d):
     return table(spark, d, "lineitem").select("l_partkey", *flag_columns(F.col("l_partkey"), ref_of=F.col("l_partkey") * 4099))
 
 
-@register("light_nibbles", "SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN b & 15 ELSE b >> 4 END AS level FROM (SELECT doc_id, i, CAST('0x' || substr(sha256(text), 2 * (i // 2) + 1, 2) AS INTEGER) AS b FROM documents, (SELECT unnest(range(0, 8))::INTEGER AS i))")
+@register("light_nibbles", "SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN b & 15 ELSE b >> 4 END AS level FROM (SELECT doc_id, i, CAST('0x' || substr(sha256(text), 2 * (i // 2) + 1, 2) AS INTEGER) AS b FROM documents, (SELECT unnest(range(0, 64))::INTEGER AS i))")
 def light_nibbles(spark, d):
     """4-bit values of a byte array, the even ones in the low half."""
     from voxquarry.functions.flags import nibble
 
-    rows = table(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("light"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    rows = table(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("light"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     return rows.select("doc_id", "i", nibble(F.col("light"), F.col("i")).alias("level"))
 
 

@@ -32,7 +32,9 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def world_tables(spark: SparkSession, d: str) -> sinks.WorldTables:
     """A world of these blocks: sections, palettes, a column for each chunk, biomes by region."""
-    cells = blocks(spark, d).withColumn("world_id", F.lit("overworld"))
+    top = folder(spark, "cells")
+    blocks(spark, d).write.parquet(top)  # read by each of the tables below
+    cells = spark.read.parquet(top).withColumn("world_id", F.lit("overworld"))
     names = cells.groupBy("state").count().select("state")
     from voxquarry.operators.palette import ranked
 
@@ -82,12 +84,14 @@ def world_indexed_scan(spark, d):
 
 @register("world_point_read", f"SELECT x, z, y, state FROM (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, 'minecraft:' || lower(state) AS state FROM ({CELLS})) WHERE x >> 4 = 1 AND z >> 4 = 0")
 def world_point_read(spark, d):
-    """One column's cells by its key."""
+    """One column's cells by its key, which is pushed into the reader: no other record is decoded."""
     top = folder(spark, "worlds")
     sinks.write_worlds(world_tables(spark, d), top, mode="indexed").collect()
     register_source(spark)
     read = lambda name: spark.read.format("voxelworld").options(path=top, table=name).load()
-    cells = voxels.voxels(read("sections").filter("x = 1 AND z = 0"))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    pruned = spark.read.format("voxelworld").options(path=top, table="sections", pushdown="true", columns_per_task="1").load()
+    cells = voxels.voxels(pruned.filter("x = 1 AND z = 0"))
     named = cells.join(read("block_palette").select(F.col("ref").alias("state_ref"), F.col("name").alias("state")), "state_ref")
     return named.filter("state <> 'minecraft:air'").select("x", "z", "y", "state")
 

@@ -9,9 +9,11 @@ most 512 MiB by the format, which bounds that task.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ def gather(t: WorldTables) -> DataFrame:
     return out
 
 
+def stem_of(world_id: str) -> str:
+    """File name of a world without its folders and extension."""
+    name = os.path.basename(world_id)
+    return name.rsplit(".", 1)[0] or name
+
+
 def _items(v) -> list:
     return [] if v is None else list(v)
 
@@ -96,13 +104,13 @@ def _writer(folder: str, mode: str, level: str, stats: bool, light: bool, skip_b
         names = [b["name"] for b in sorted(_items(head.biomes), key=lambda b: b["ref"])]
         w = World(int(head.block_version), states, names, [column_of(r) for r in columns.itertuples(index=False)], bytes(head.settings), bytes(head.user_data))
         data = write_indexed(w, level) if mode == "indexed" else write_world(w, level, stats, light, skip_biomes)
-        stem = os.path.basename(key[0]).rsplit(".", 1)[0]
+        stem = stem_of(key[0]) if head.sharers == 1 else f"{stem_of(key[0])}-{xxhash.xxh64_hexdigest(key[0].encode())}"
         store, top = store_of(folder)
         store.create_dir(top, recursive=True)
-        path = f"{top}/{stem}.{extension}"
-        with store.open_output_stream(path + ".writing", compression=None) as f:
+        path, own = f"{top}/{stem}.{extension}", f"{top}/.{stem}-{uuid.uuid4().hex}"
+        with store.open_output_stream(own, compression=None) as f:
             f.write(data)
-        store.move(path + ".writing", path)
+        store.move(own, path)
         return pd.DataFrame([{"world_id": key[0], "path": f"{folder}/{stem}.{extension}", "bytes": len(data), "content_hash": content_hash(w)}])
 
     return run
@@ -116,7 +124,11 @@ def write_worlds(
     states = t.block_palette.groupBy("world_id").agg(F.collect_list(F.struct("ref", "name", "props", "version")).alias("states"))
     biomes = t.biome_palette.groupBy("world_id").agg(F.collect_list(F.struct("ref", "name")).alias("biomes"))
     meta = t.worlds.select("world_id", "block_version", "settings", "user_data").join(states, "world_id", "left").join(biomes, "world_id", "left")
-    meta = meta.withColumn("states", F.coalesce("states", F.array().cast(states.schema["states"].dataType)))
+    # Worlds whose names differ only in their folders get a hash of the whole name into the file's.
+    stem = F.regexp_replace(F.regexp_extract("world_id", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    named = t.worlds.select("world_id", stem.alias("stem"))
+    sharers = named.join(named.groupBy("stem").agg(F.countDistinct("world_id").alias("sharers")), "stem").select("world_id", "sharers")
+    meta = meta.join(sharers, "world_id").withColumn("states", F.coalesce("states", F.array().cast(states.schema["states"].dataType)))
     write = _writer(folder, mode, level, stats, light, skip_biomes, extension)
     return gather(t).groupBy("world_id").cogroup(meta.groupBy("world_id")).applyInPandas(write, "world_id string, path string, bytes bigint, content_hash string")
 
