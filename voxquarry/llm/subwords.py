@@ -18,8 +18,8 @@ import regex
 from .common import CACHES
 from .pretokens import PLAIN, Memory, chunks
 
-#: Bytes of chunks, and half as many of pieces of chunks, remembered by a worker.
-REMEMBERED = 48 << 20
+#: Bytes of chunks and their pieces remembered by a worker.
+REMEMBERED = 72 << 20
 
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -54,14 +54,22 @@ class Subwords:
         self.words = words
         self.find = regex.compile(_WORD_PATTERN if words else _BYTE_PATTERN).findall
         self.known = Memory(self._chunk, remembered)
-        self.pieces = Memory(self._piece, remembered // 2)
+        self.tokenize = self.model.tokenize
 
     def _piece(self, piece: str) -> bytes:
-        return pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", _LETTERS[32])  # the only one of these that another letter stands for
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        return pack([t.id for t in self.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk; one that is a single piece, as most are, is remembered once."""
         if PLAIN.fullmatch(chunk):
-            return b"".join(map(self.pieces.__getitem__, self.find(chunk.lower() if self.words else chunk)))
+            pieces = self.find(chunk.lower() if self.words else chunk)
+            if len(pieces) == 1 and pieces[0] == chunk:
+                return self._piece(chunk)
+            return b"".join(map(self.known.__getitem__, pieces))
         return pack(self.library.encode(chunk, add_special_tokens=False).ids)
 
     def encode_bytes(self, text: str) -> bytes:

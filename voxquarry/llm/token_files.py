@@ -48,7 +48,7 @@ FRAME_IDS = 32_768
 #: Bytes of text for a file: what one task sorts and writes.
 FILE_BYTES = 64 << 20
 #: Bytes of the ids' chunks that a worker remembers.
-REMEMBERED = 128 << 20
+REMEMBERED = 192 << 20
 LEVEL = 3
 INDEX_MAGIC = 0x184D2A51
 SEEK_SKIPPABLE = 0x184D2A5E
