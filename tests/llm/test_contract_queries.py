@@ -86,3 +86,15 @@ def test_sql(results, sf, name):
         c.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM (SELECT * FROM '" + sf + "/documents.parquet/*.parquet') WHERE doc_id <> 405")
     got = Counter(tuple(r) for r in results[name] if name != "op9_line_dedup" or r["doc_id"] not in (None, 405))
     assert got == Counter(c.sql(registry.ORACLES[name]).fetchall())
+
+
+def test_shards_are_cut_at_equal_targets(results):
+    out = results["op1_sharding"]
+    order = sorted(out, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]))
+    total, before, places = sum(r["size"] for r in out), 0, Counter()
+    for r in order:
+        assert r["shard"] == min(15, (2 * before + r["size"]) * 16 // (2 * total)) and r["grown_shard"] is None and r["law"] == "bytes"
+        if r["doc_id"] != 405:  # repeated rows may change places
+            assert r["slot"] == places[r["shard"]]
+        places[r["shard"]] += 1
+        before += r["size"]

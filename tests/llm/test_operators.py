@@ -550,3 +550,52 @@ def test_fingerprint_query_columns(spark, docs):
     for r in out:
         if r["doc_id"] in ids[:-1]:
             assert r["alike_next"] == pytest.approx(brute_alike(r["fingerprint"], after[ids[ids.index(r["doc_id"]) + 1]]), abs=1e-12)
+
+
+def test_neighbours_beyond_the_beam_lengths_and_clashes(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    vectors = {i: base + 0.001 * rng.normal(size=8) for i in range(300)}
+    short = {i: rng.normal(size=3) for i in range(1000, 1040)}
+    rows = [(i, [float(x) for x in v], "a", 1) for i, v in {**vectors, **short}.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, VEC_ID string, id int")
+    out = neighbours.nearest(df, "vec_id", "embedding", lambda i: i % 50 == 0, k=100, beam=32).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 300, 50):
+        assert len(got[q]) == 100 and len(set(got[q]) & set(brute_neighbours(vectors, k=100)[q])) >= 95
+    assert got[1000] == brute_neighbours(short, k=39)[1000] and set(got[1000]) == set(short) - {1000}
+
+
+def brute_language(model, text):
+    """Fewest bytes of 512-byte segments, each on its own, by a dictionary for each language."""
+    import zstandard
+
+    if not text or not any(map(str.isalpha, text)):
+        return "und"
+    data = text.lower().encode()
+    sizes = {}
+    for lang, content in sorted(model.items()):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters(**langid.CODER)
+        sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(data[i : i + 512])) for i in range(0, len(data), 512))
+    return min(sizes, key=sizes.get)
+
+
+def test_language_against_brute_force(spark, docs, rows):
+    model = langid.learn(docs)
+    out = langid.identify(docs, model, ["doc_id"]).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in out) == Counter((r[0], brute_language(model, r[1])) for r in rows if r[0] != 405) + Counter(
+        {(405, brute_language(model, "x" * 200_000)): 2}
+    )
+    wide = spark.createDataFrame([("0123456789" * 2000,)], "t string").select(langid.windows(F.col("t"), 4, 10).alias("w")).first()["w"]
+    assert wide.split("\n") == ["0123456789", "3456789012", "6789012345", "0123456789"]
+
+
+def test_packing_exchanges_at_small_sizes(spark):
+    rng = random.Random(17)
+    pieces = [(i, 0, 0, rng.choice([900, 1000, 1100, 700, 500, 300]), 0) for i in range(60)]
+    report = []
+    out = packing.pack(spark.createDataFrame(pieces, packing.PIECE), report=report).collect()
+    assert len({r["sequence_id"] for r in out}) == min(b for b, _ in report) <= report[0][1] + 2
