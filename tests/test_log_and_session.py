@@ -1,5 +1,8 @@
 """Versioned tables, sessions and streams."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 from worlds import world
@@ -7,7 +10,7 @@ from worlds import world
 from voxquarry.codec.limits import InvalidContent
 from voxquarry.codec.solid import content_hash, publish, read_world, write_world
 from voxquarry.functions import binary
-from voxquarry.operators import zorder
+from voxquarry.operators import log, zorder
 from voxquarry.operators.log import VersionedTable
 from voxquarry.plans.session import Options, Session
 from voxquarry.streaming import log_stream
@@ -55,6 +58,74 @@ def test_versions(spark, tmp_path):
     t.close()
 
 
+def test_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    VersionedTable.create(spark, path, ["x", "z"], rows(spark, (0, 0, "a")))
+
+    def write(i):
+        t = VersionedTable(spark, path, ["x", "z"])
+        for j in range(3):
+            t.upsert(rows(spark, (i, j + 1, "w")))
+            t.checkpoint()
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    t = VersionedTable(spark, path, ["x", "z"])
+    assert t.versions() == list(range(1, 14))
+    assert content(t.read()) == sorted([(0, 0, "a")] + [(i, j + 1, "w") for i in range(4) for j in range(3)])
+    assert not [f for f in os.listdir(f"{path}/_log/main") if not f.endswith(".json")]
+    with pytest.raises(InvalidContent):
+        VersionedTable.create(spark, path, ["x", "z"], rows(spark, (0, 0, "a")))
+
+
+def test_a_version_taken_meanwhile(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    t = VersionedTable.create(spark, path, ["x", "z"], rows(spark, (0, 0, "a")))
+    other = VersionedTable(spark, path, ["x", "z"])
+    other.upsert(rows(spark, (1, 0, "other")))
+    other.checkpoint()
+    real, stale = t.versions, []
+    monkeypatch.setattr(t, "versions", lambda: stale.pop() if stale else real())
+    for claim in (t._linked, t._renamed):
+        monkeypatch.setattr(t, "_linked", claim)
+        stale.append(real()[:-1])  # as if the newest version came after the look at the folder
+        t.upsert(rows(spark, (2, 0, claim.__name__)))
+        t.checkpoint()
+        assert content(t.read()) == [(0, 0, "a"), (1, 0, "other"), (2, 0, claim.__name__)]
+    assert not [f for f in os.listdir(f"{path}/_log/main") if not f.endswith(".json")]
+
+
+def test_compaction_keeps_what_comes_meanwhile(spark, tmp_path):
+    path = str(tmp_path / "t")
+    t = VersionedTable.create(spark, path, ["x", "z"], rows(spark, (0, 0, "a"), (1, 0, "b")))
+    t.delete(rows(spark, (1, 0, "")))
+    t.checkpoint()
+    other = VersionedTable(spark, path, ["x", "z"])
+
+    def meanwhile(live):
+        other.upsert(rows(spark, (5, 0, "late")))
+        other.checkpoint()
+        return live
+
+    t.compact(meanwhile)
+    assert content(t.read()) == [(0, 0, "a"), (5, 0, "late")] and t._load()["changes"]
+    with pytest.raises(InvalidContent):
+        t.compact(lambda live: (other.compact(), live)[1])
+    assert content(t.read()) == [(0, 0, "a"), (5, 0, "late")]
+
+
+def test_folded_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "FOLD", 3)
+    t = VersionedTable.create(spark, str(tmp_path / "t"), ["x", "z"], rows(spark, (0, 0, "a"), (1, 0, "b")))
+    for i in range(4):
+        t.upsert(rows(spark, (i, 0, f"v{i}"), (9, 9, f"v{i}")))
+        t.delete(rows(spark, (i - 1, 0, "")))
+        t.checkpoint()
+        assert len(t._load()["changes"]) <= 3
+    assert content(t.read()) == [(3, 0, "v3"), (9, 9, "v3")]
+    assert content(t.read(2)) == [(0, 0, "v0"), (1, 0, "b"), (9, 9, "v0")]
+
+
 def test_stream(spark, tmp_path):
     t = VersionedTable.create(spark, str(tmp_path / "t"), ["x", "z"], rows(spark, (0, 0, "a")))
     source = str(tmp_path / "in")

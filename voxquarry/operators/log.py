@@ -1,24 +1,30 @@
 """A versioned table: append, delete, checkpoint, compact, snapshot, roll back, branch.
 
 Data lives in Parquet parts below a folder.  A commit is one JSON file that lists
-the parts of a version; it is written beside and renamed, after its parts, so a
-reader sees a version whole or not at all, and a crash leaves the one before.
-Parts are never changed, which makes old versions, snapshots and branches views
-of the same files.
+the parts of a version; it is written beside, after its parts, and then given its
+name if no other writer took that, so a reader sees a version whole or not at
+all, a crash leaves the one before, and of two writers the later goes on from
+the other's version.  Parts are never changed, which makes old versions,
+snapshots and branches views of the same files.
 
 Changes carry a sequence number; the last change of a key wins, deletions
-included.  Reading resolves them by aggregation and one anti-join.
+included.  Reading resolves them by aggregation and one anti-join.  Many parts of
+changes are folded into one, so plans don't grow with the number of checkpoints.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxquarry.codec.limits import InvalidContent
 from voxquarry.operators.ordered import latest_wins
@@ -26,6 +32,8 @@ from voxquarry.sources.world_source import store_of
 
 SEQUENCE, GONE = "_sequence", "_deleted"
 GARBAGE_LIMIT = 0.5
+#: Parts of changes from which on a checkpoint folds them into one.
+FOLD = 32
 
 
 class VersionedTable:
@@ -46,7 +54,14 @@ class VersionedTable:
         if t.versions():
             raise InvalidContent(f"{path} holds a table")
         base = t._write(df, "base")
-        t._commit({"base": base, "changes": [], "rows": df.count(), "schema": df.schema.json(), "meta": {}})
+        first = {"base": base, "changes": [], "rows": df.count(), "schema": df.schema.json(), "meta": {}}
+
+        def only(newest: dict | None) -> dict:
+            if newest is not None:
+                raise InvalidContent(f"{path} holds a table")
+            return first
+
+        t._commit(only)
         return t
 
     def _folder(self) -> str:
@@ -67,15 +82,45 @@ class VersionedTable:
         with self.store.open_input_stream(f"{self._folder()}/{version:012d}.json", compression=None) as f:
             return json.loads(f.read()) | {"version": version}
 
-    def _commit(self, state: dict) -> int:
-        version = (self.versions() or [0])[-1] + 1
+    def _commit(self, change: Callable[[dict | None], dict]) -> int:
+        """Make ``change`` of the newest state the next version; if another writer gets there first, of theirs."""
         self.store.create_dir(self._folder(), recursive=True)
-        at = f"{self._folder()}/{version:012d}.json"
-        beside = f"{at}.{uuid.uuid4().hex}"
-        with self.store.open_output_stream(beside, compression=None) as f:
-            f.write(json.dumps({k: v for k, v in state.items() if k != "version"}).encode())
-        self.store.move(beside, at)
-        return version
+        while True:
+            known = self.versions()
+            version = (known or [0])[-1] + 1
+            state = change(self._load(known[-1]) if known else None)
+            name = f"{version:012d}.json"
+            beside = f"{name}.{uuid.uuid4().hex}"
+            with self.store.open_output_stream(f"{self._folder()}/{beside}", compression=None) as f:
+                f.write(json.dumps({k: v for k, v in state.items() if k != "version"}).encode())
+            claim = self._linked if isinstance(self.store, fs.LocalFileSystem) else self._renamed
+            if claim(beside, name):
+                return version
+
+    def _linked(self, beside: str, name: str) -> bool:
+        """Name a local file unless the name is taken."""
+        try:
+            os.link(f"{self._folder()}/{beside}", f"{self._folder()}/{name}")
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(f"{self._folder()}/{beside}")
+
+    def _renamed(self, beside: str, name: str) -> bool:
+        """The same by a Hadoop rename that doesn't overwrite: atomic on HDFS, not on every object store."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        top = hadoop.Path(f"{self.path}/_log/{self.branch}")
+        context = hadoop.FileContext.getFileContext(top.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        try:
+            context.rename(hadoop.Path(top, beside), hadoop.Path(top, name), plain)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            context.delete(hadoop.Path(top, beside), False)
+            return False
 
     def _write(self, df: DataFrame, kind: str) -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
@@ -103,16 +148,29 @@ class VersionedTable:
         self.meta_pending = meta
 
     def checkpoint(self) -> int | None:
-        """Make what is staged the newest version; nothing staged, nothing written."""
+        """Make what is staged the newest version; nothing staged, nothing written.
+
+        What another writer committed meanwhile lies below it; staged metadata replaces theirs.
+        """
         self._writable()
         if not self.pending and self.meta_pending is None:
             return None
-        state = self._load()
-        state["changes"] = state["changes"] + [c["part"] for c in self.pending]
-        if self.meta_pending is not None:
-            state["meta"] = self.meta_pending
+        staged = [c["part"] for c in self.pending]
+
+        def changed(newest: dict | None) -> dict:
+            changes = newest["changes"] + staged
+            if len(changes) > FOLD:
+                changes = [self._folded(changes, newest)]
+            return newest | {"changes": changes} | ({} if self.meta_pending is None else {"meta": self.meta_pending})
+
+        version = self._commit(changed)
         self.pending, self.meta_pending = [], None
-        return self._commit(state)
+        return version
+
+    def _folded(self, parts: list[str], state: dict) -> str:
+        """One part that does what these do, one after the other."""
+        changes = self._changes(parts, StructType.fromJson(json.loads(state["schema"])))
+        return self._write(latest_wins(changes, self.key, [SEQUENCE]).drop(SEQUENCE), "change")
 
     # ---- reading
 
@@ -128,8 +186,6 @@ class VersionedTable:
         return out
 
     def _resolved(self, state: dict) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         schema = StructType.fromJson(json.loads(state["schema"]))
         base = self.spark.read.schema(schema).parquet(f"{self.path}/{state['base']}")
         changes = self._changes(state["changes"], schema)
@@ -148,9 +204,8 @@ class VersionedTable:
     def garbage_ratio(self) -> float:
         """Share of stored rows that the newest version doesn't show."""
         state = self._load()
-        stored = self.spark.read.parquet(f"{self.path}/{state['base']}").count()
-        for part in state["changes"]:
-            stored += self.spark.read.parquet(f"{self.path}/{part}").count()
+        parts = [state["base"], *state["changes"]]
+        stored = self.spark.read.schema(StructType([])).parquet(*[f"{self.path}/{part}" for part in parts]).count()
         return 1 - self.read().count() / stored if stored else 0.0
 
     # ---- maintenance
@@ -161,7 +216,14 @@ class VersionedTable:
         state = self._load()
         live = self._resolved(state)
         base = self._write(cluster(live) if cluster else live, "base")
-        return self._commit(state | {"base": base, "changes": []})
+        done = state["changes"]
+
+        def compacted(newest: dict | None) -> dict:
+            if newest["base"] != state["base"] or newest["changes"][: len(done)] != done:
+                raise InvalidContent("the table was rewritten meanwhile")
+            return newest | {"base": base, "changes": newest["changes"][len(done) :]}
+
+        return self._commit(compacted)
 
     def close(self) -> None:
         """Checkpoint, and compact where more than half is garbage."""
@@ -197,7 +259,7 @@ class VersionedTable:
         with self.store.open_input_stream(self._named(name), compression=None) as f:
             state = json.loads(f.read())
         self.pending, self.meta_pending = [], None
-        return self._commit(state)
+        return self._commit(lambda _: state)
 
     def delete_snapshot(self, name: str) -> None:
         self._writable()
@@ -209,5 +271,6 @@ class VersionedTable:
         out = VersionedTable(self.spark, self.path, self.key, False, branch)
         if out.versions():
             raise InvalidContent(f"branch {branch} exists")
-        out._commit(self._load())
+        state = self._load()
+        out._commit(lambda _: state)
         return out

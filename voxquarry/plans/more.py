@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxquarry.functions.flags import bit_at
@@ -103,6 +104,20 @@ def zorder_cluster(spark, d):
     return zorder.cluster(rows.withColumns({"x": F.col("o_custkey").cast("int"), "z": F.col("o_orderkey").cast("int")}), "x", "z").drop("x", "z")
 
 
+@register("zorder_layout", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS out_of_place FROM orders")
+def zorder_layout(spark, d):
+    """The layout as written: rows that lie out of their place on the curve, inside a file and from file to file."""
+    top = folder(spark, "layout")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").cast("int").alias("x"), F.col("o_orderkey").cast("int").alias("z"))
+    zorder.cluster(rows, "x", "z", int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(top)
+    key = zorder.unsigned_order(zorder.morton(F.col("x"), F.col("z")))
+    lying = spark.read.parquet(top).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), key.alias("key"))
+    behind = (F.lag("key").over(W.partitionBy("file").orderBy("at")) > F.col("key")).cast("bigint")
+    files = lying.withColumn("behind", behind).groupBy("file").agg(F.count("*").alias("n"), F.coalesce(F.sum("behind"), F.lit(0)).alias("behind"), F.min("key").alias("low"), F.max("key").alias("high"))
+    before = F.coalesce((F.lag("high").over(W.orderBy("file")) > F.col("low")).cast("bigint"), F.lit(0))  # a row for each file
+    return files.select("n", (F.col("behind") + before).alias("out")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("out"), F.lit(0)).alias("out_of_place"))
+
+
 @register("log_versions", """
     SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'second' WHEN c_custkey % 3 = 0 THEN 'first' ELSE c_mktsegment END AS v
     FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 5 = 0

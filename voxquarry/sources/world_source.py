@@ -14,6 +14,7 @@ own frames.  ``worlds`` and the palettes never touch a record.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -26,6 +27,9 @@ from voxquarry.codec.solid import INDEXED, STRUCTURE, read_header, read_meta_onl
 
 from .rows import META_TABLES, SCHEMAS, column_rows, meta_rows, structure_rows
 
+#: Files whose headers are read at a time when a scan is planned.
+OPENERS = 32
+
 
 def store_of(path: str):
     """(file system, path in it) of a URI or a local path."""
@@ -69,18 +73,21 @@ class Reader(DataSourceReader):
         return all(test(x if name in ("x", "chunk_x") else z) for name, test in self.tests)
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path in listed(self.path):
-            store, at = store_of(path)
-            with store.open_input_file(at) as f:
-                data = Ranged(f)
-                kind, mode, _, _ = read_header(data)
-                if mode == INDEXED and kind != STRUCTURE and self.table not in META_TABLES:
-                    keys = [k for k in IndexedFile(data).entries if self.wants(*k)]
-                    out += [Slice(path, keys[i : i + self.per_task]) for i in range(0, len(keys), self.per_task)]
-                    continue
-            out.append(Slice(path))
-        return out
+        with ThreadPoolExecutor(OPENERS) as pool:
+            return [part for parts in pool.map(self.slices, listed(self.path)) for part in parts]
+
+    def slices(self, path: str) -> list[InputPartition]:
+        """Tasks of one file; of an indexed one, only of the columns that are wanted."""
+        if self.table in META_TABLES:
+            return [Slice(path)]
+        store, at = store_of(path)
+        with store.open_input_file(at) as f:
+            data = Ranged(f)
+            kind, mode, _, _ = read_header(data)
+            if mode != INDEXED or kind == STRUCTURE:
+                return [Slice(path)]
+            keys = [k for k in IndexedFile(data).entries if self.wants(*k)]
+        return [Slice(path, keys[i : i + self.per_task]) for i in range(0, len(keys), self.per_task)]
 
     def read(self, part: Slice) -> Iterator[tuple]:
         store, at = store_of(part.path)
