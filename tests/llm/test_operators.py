@@ -151,6 +151,28 @@ def test_bpe_forgets(rows):
     assert all(own.encode(r[1] or "") == encoding.encode_ordinary(r[1] or "") for r in rows)
 
 
+def test_bpe_merges_together_as_alone():
+    ranks, encoding = tiktoken_encoding()
+    own = bpe.Encoder(ranks, public.PATTERN)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aaabeé漢 ") for _ in range(rng.randint(1, 40))).encode() for _ in range(2000)]
+    words = [w for w in dict.fromkeys(words) if w not in ranks]
+    for got, word in zip(own.merge(words), words, strict=True):
+        assert [got] == bpe.Encoder.merge(own, [word])
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == encoding._encode_single_piece(word)
+    texts = odd_texts() + ["", "x" * (bpe.TOGETHER + 5), "", "ab " * 1000]
+    assert list(own.encode_many(texts)) == [struct.pack(f"<{len(x)}I", *x) for x in map(encoding.encode_ordinary, texts)]
+
+
+def test_bpe_merge_to_a_lower_rank():
+    # "bc" is merged at 259, then "abc" has rank 257, which goes before the "bc" further right.
+    ranks = {bytes([b]): b for b in range(256)} | {b"xx": 256, b"abc": 257, b"cb": 258, b"bc": 259, b"abcbc": 260}
+    own = bpe.Encoder(ranks, r"\S+")
+    encoding = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abcbc", "abcabc", "bcabcbcxx", "bbcc", "abcabcbcabcab"):
+        assert own.encode(text) == encoding.encode_ordinary(text), text
+
+
 @pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_subwords(name, words):
     own = subwords.Subwords(public.path(name), words)

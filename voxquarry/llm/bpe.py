@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's mergeable pairs wait in buckets, one for each merge rank, that
-hold positions in a linked list of the token starts.  Two levels of bitmaps say
-which buckets are filled; find-first-set on the upper level and then on the
-lower one gives the lowest rank in constant time, and the leftmost position of
-its bucket is merged.  An entry whose pair has changed meanwhile is stale and is
-skipped.  Very long pre-tokens thus cost n log n and short ones little.
+Pre-tokens that are not known yet are merged many at once.  Their mergeable
+pairs wait in buckets, one for each merge rank, that hold positions in one linked
+list of the token starts.  Two levels of bitmaps say which buckets are filled;
+find-first-set on the upper level and then on the lower one gives the lowest rank
+in constant time, and the positions of its bucket are merged from left to right.
+An entry whose pair has changed meanwhile is stale and is skipped.  A free place
+between pre-tokens, which pairs with nothing, keeps them apart, and since the
+lowest rank of all is also the lowest of each pre-token that holds it, each is
+merged as it would be alone.  Very long pre-tokens thus cost n log n and short
+ones little.
 
 Edge cases: null and empty texts have no ids; texts of any length are encoded
 whole; the result of a row depends on its text only, so repeated rows agree;
@@ -16,8 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import struct
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from .pretokens import Memory, chunks
 
 #: Bytes of chunks, and half as many of pre-tokens, remembered by a worker.
 REMEMBERED = 128 << 20
+#: Characters of texts that are encoded together (a longer text alone), and bytes of pre-tokens merged at once.
+TOGETHER = 1 << 20
 WORD = 256
 
 
@@ -38,42 +44,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class RankQueue:
-    """Positions by rank; lowest rank first, leftmost position first within a rank."""
+    """Buckets of positions by rank, the lowest rank first."""
 
     def __init__(self, ranks: int):
         self.leaf = [0] * (ranks // WORD + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            self.leaf[rank >> 8] |= 1 << (rank & 255)
-            self.top |= 1 << (rank >> 8)
-        else:
-            heapq.heappush(bucket, at)
+    def put(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
+        self.leaf[rank >> 8] |= 1 << (rank & 255)
+        self.top |= 1 << (rank >> 8)
 
-    def pop(self) -> tuple[int, int]:
+    def pop(self) -> tuple[int, list[int]]:
         word = (self.top & -self.top).bit_length() - 1
         bits = self.leaf[word]
         low = bits & -bits
         rank = (word << 8) | (low.bit_length() - 1)
-        bucket = self.buckets[rank]
-        at = bucket[0]
-        if len(bucket) > 1:
-            heapq.heappop(bucket)
-        else:
-            del self.buckets[rank]
-            self.leaf[word] = bits ^ low
-            if bits == low:
-                self.top ^= 1 << word
-        return rank, at
+        self.leaf[word] = bits ^ low
+        if bits == low:
+            self.top ^= 1 << word
+        return rank, self.buckets.pop(rank)
 
 
 class Encoder:
@@ -82,66 +75,141 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()))
         self.token = {rank: token for token, rank in ranks.items()}
-        self.known = Memory(self._chunk, remembered)
-        self.pieces = Memory(self._piece, remembered // 2)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, n = self.ranks, len(piece)
-        rank_of = ranks.get
-        whole = rank_of(piece)
-        if whole is not None:
-            return [whole]
-        queue = self.queue
-        push, pop, buckets = queue.push, queue.pop, queue.buckets
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that starts here, -1 if it can't merge or the start is gone
-        for i in range(n - 1):
-            r = rank_of(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
+        self.none = max(ranks.values()) + 1  # the free place between pre-tokens
+        self.shift = self.none.bit_length()
+        self.queue = RankQueue(self.none)
+        #: Rank of what two neighbouring tokens make, by (left << shift) | right.
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << self.shift | right] = rank
+        #: The same for two bytes, -1 where they make nothing; 256 stands for the free place.
+        self.single = np.array([*(ranks[bytes([b])] for b in range(256)), self.none], np.int64)
+        self.double = np.array([self.pairs.get(a << self.shift | b, -1) for a in self.single.tolist() for b in self.single.tolist()], np.int64)
+        self.known: Memory = Memory(None, remembered)
+        self.pieces: Memory = Memory(None, remembered // 2)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, which are not empty."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        places = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(pieces) + 1), lengths)
+        letters = np.full(lengths.sum() + len(pieces) + 1, 256, np.int64)
+        letters[places] = np.frombuffer(b"".join(pieces), np.uint8)
+        ranks = np.append(self.double[letters[:-1] * 257 + letters[1:]], -1)
+        token = self.single[letters].tolist()
+        pair = ranks.tolist()  # rank of the pair that starts here, -1 if it can't merge or the start is gone
+        after, before = list(range(1, len(pair) + 1)), list(range(-1, len(pair) - 1))
+        queue, shift, rank_of = self.queue, self.shift, self.pairs.get
+        buckets, put = queue.buckets, queue.put
+        waiting = np.flatnonzero(ranks >= 0)
+        waiting = waiting[np.argsort(ranks[waiting], kind="stable")]
+        found, first = np.unique(ranks[waiting], return_index=True)
+        for r, positions in zip(found.tolist(), np.split(waiting, first[1:])):
+            put(r, positions.tolist())
         while buckets:
-            r, i = pop()
-            if pair[i] != r:
-                continue  # stale
-            gone = after[i]
-            end = after[i] = after[gone]
-            pair[gone] = pair[i] = -1
-            if end < n:
+            rank, bucket = queue.pop()
+            bucket.sort()
+            base, lower, rest = rank << shift, False, iter(bucket)
+            for i in rest:
+                if pair[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                end = after[i] = after[gone]
                 before[end] = i
-                r = rank_of(piece[i : after[end]])
-                if r is not None:
+                token[i], token[gone], pair[gone] = rank, -1, -1
+                r = rank_of(base | token[end])
+                if r is None:
+                    pair[i] = -1
+                else:
                     pair[i] = r
-                    push(r, i)
-            left = before[i]
-            if left >= 0:
-                r = rank_of(piece[left:end])
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        put(r, [i])
+                        lower = r < rank
+                left = before[i]
+                r = rank_of(token[left] << shift | rank)
                 if r is None:
                     pair[left] = -1
-                elif pair[left] != r:
+                else:
                     pair[left] = r
-                    push(r, left)
-        out, i = [], 0
-        while i < n:
-            end = after[i]
-            out.append(ranks[piece[i:end]])
-            i = end
+                    if r in buckets:
+                        buckets[r].append(left)
+                    else:
+                        put(r, [left])
+                        lower = lower or r < rank
+                if lower:  # goes first; the rest of this bucket waits
+                    left_over = list(rest)
+                    if left_over:
+                        put(rank, left_over)
+        ids = np.array(token, np.int64)
+        alive = (ids >= 0) & (ids != self.none)
+        out = ids[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive)[np.cumsum(lengths + 1) - 1]).tolist()
+        return [out[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens."""
+        out, new = {}, []
+        for piece in pieces:
+            ids = self.pieces.find(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                out[piece] = ids
+        raw = [piece.encode("utf-8", "replace") for piece in new]
+        apart = []
+        for piece, letters in zip(new, raw):
+            whole = self.ranks.get(letters)
+            if whole is None:
+                apart.append((piece, letters))
+            else:
+                out[piece] = whole.to_bytes(4, "little")
+        group = [n // TOGETHER for n in accumulate(len(letters) for _, letters in apart)]
+        a = 0
+        while a < len(apart):
+            b = bisect_right(group, group[a], a)
+            out.update(zip((piece for piece, _ in apart[a:b]), self.merge([letters for _, letters in apart[a:b]])))
+            a = b
+        for piece in new:
+            self.pieces.keep(piece, out[piece])
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        return pack(self.merge(piece.encode("utf-8", "replace")))
-
-    def _chunk(self, chunk: str) -> bytes:
-        pieces = self.find(chunk)
-        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; what the texts share is looked up once."""
+        parts = [chunks(text) for text in texts]
+        ids, new = {"": b""}, []
+        for chunk in set().union(*parts):
+            at_hand = self.known.find(chunk)
+            if at_hand is None:
+                new.append(chunk)
+            else:
+                ids[chunk] = at_hand
+        split = [self.find(chunk) for chunk in new]
+        of = self._learn(list({piece for pieces in split for piece in pieces})).__getitem__
+        for chunk, pieces in zip(new, split):
+            ids[chunk] = of(pieces[0]) if len(pieces) == 1 else b"".join(map(of, pieces))
+            self.known.keep(chunk, ids[chunk])
+        return [b"".join(map(ids.__getitem__, p)) for p in parts]
+
+    def encode_many(self, texts: list[str]):
+        """Ids of each text as little-endian unsigned 32-bit integers, in groups of some size."""
+        group, held = [], 0
+        for text in texts:
+            if group and held + len(text) > TOGETHER:
+                yield from self.encode_group(group)
+                group, held = [], 0
+            group.append(text)
+            held += len(text)
+        if group:
+            yield from self.encode_group(group)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, chunks(text)))
+        return self.encode_group([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
@@ -173,7 +241,7 @@ def _encode(path: str | None, pattern: str | None):
     def run(batches):
         own = encoder(*_vocabulary(path, pattern))
         for batch in batches:
-            ids = [own.encode_bytes(t or "") for t in batch["text"].to_pylist()]
+            ids = list(own.encode_many([t or "" for t in batch["text"].to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(ids, pa.binary())], names=[*(c for c in batch.schema.names if c != "text"), "ids"])
 
     return run
@@ -204,8 +272,8 @@ def _round_trip(path: str | None, pattern: str | None):
         own = encoder(*_vocabulary(path, pattern))
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = own.encode_bytes(text or "")
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for doc, ids in zip(batch["doc_id"].to_pylist(), own.encode_many(texts)):
                 raw = own.decode(np.frombuffer(ids, dtype="<u4").tolist())
                 rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
             columns = list(zip(*rows)) or [[]] * 4

@@ -48,10 +48,16 @@ class Memory(dict):
         self.held = 0
         self[""] = b""
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.elder.get(chunk)
+    def find(self, chunk: str) -> bytes | None:
+        """What is remembered of a chunk, or None."""
+        ids = self.get(chunk)
         if ids is None:
-            ids = self.encode(chunk)
+            ids = self.elder.get(chunk)
+            if ids is not None:
+                self.keep(chunk, ids)
+        return ids
+
+    def keep(self, chunk: str, ids: bytes) -> None:
         if len(chunk) <= LONGEST:
             if self.held >= self.half:
                 self.elder = dict(self)
@@ -60,4 +66,10 @@ class Memory(dict):
                 self[""] = b""
             self[chunk] = ids
             self.held += ENTRY + len(chunk) + len(ids)
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.elder.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        self.keep(chunk, ids)
         return ids
